@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from evidentia.llm.decontaminate import op7_decontaminate
 from evidentia.llm.language_id import op6_language_id
+from evidentia.llm.line_dedup import op10_line_dedup
+from evidentia.llm.minhash import op4_minhash
 from evidentia.llm.packing import op2_packing
 from evidentia.llm.token_counts import op1_token_counts
 from evidentia.llm.token_files import op3_token_files
@@ -13,8 +15,10 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
+    "op4_minhash": op4_minhash,
     "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL = {"op5_url_filter": OP5_SQL}
