@@ -1,23 +1,22 @@
 """Near-duplicates by DartMinHash.
 
 A document is a weighted set of word shingles. Over every element lies a plane of
-weight and time, in unit squares, into which darts are thrown as hashes of element
-and square say, one to a square on average. A dart counts if it lies below the
-element's weight, and each of the signature's coordinates keeps the earliest dart
-that fell to it. Two documents agree in a coordinate with the probability of
-their (weighted) Jaccard similarity. A document of total weight W is done after
-about k ln k / W units of time, so long documents look at few darts per element.
+weight and time in unit squares, and a hash of element and square throws one dart
+into each. A dart counts if it lies below the element's weight; each of the
+signature's k coordinates keeps the earliest dart that falls to it. Two documents
+agree in a coordinate with the probability of their (weighted) Jaccard similarity.
+Time goes on until every coordinate has a dart, after about k ln k / W units for a
+document of total weight W, so a long document throws one or two darts per element.
 
 Signatures are joined in bands. Copies share one entry. In a band's bucket no pairs
 of all members are made: members are compared with a hub, the one with most
-neighbours; those still apart from it in the next round with two more hubs, then four,
+neighbours; those still apart from it in the next round with 8 more hubs, then 64,
 until every member that isn't in one class with the rest has been a hub itself.
 Each comparison is exact, on the shingles of both texts.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,57 +33,84 @@ BANDS, ROWS = 26, 5
 #: A bucket of at most so many members is compared at once.
 SMALL_BUCKET = 8
 
-#: Chance that a square holds more than 0, 1, 2, ... darts, as thresholds of a 32-bit hash.
-_POISSON = np.array([int((1 - math.exp(-1) * sum(1 / math.factorial(i) for i in range(n + 1))) * 2**32) for n in range(12)], np.uint64)
+def weighted_sets(words: np.ndarray, first: np.ndarray, k: int = WORDS, weights: str = "set") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingles, weights, first shingle of each text and the end) of a block of texts.
+
+    Weights are 1 each ("set") or how often the shingle occurs ("count"). A text of
+    fewer than k words is one shingle of all of them.
+    """
+    n, texts = len(words), len(first) - 1
+    doc = np.repeat(np.arange(texts), np.diff(first))
+    if n >= k:
+        h = np.zeros(n - k + 1, _U)
+        for j in range(k):
+            h = h * _U(0xBF58476D1CE4E5B9) + words[j : n - k + 1 + j]
+        whole = np.arange(n - k + 1) + k <= first[1:][doc[: n - k + 1]]
+        h, of = mix64(h[whole] + _U(k)), doc[: n - k + 1][whole]
+    else:
+        h, of = np.zeros(0, _U), np.zeros(0, np.int64)
+    short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < k))
+    if len(short):
+        h = np.concatenate([h, *[shingle_hashes(words[first[d] : first[d + 1]], k) for d in short]])
+        of = np.concatenate([of, short])
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(h))).astype(np.float64)
+    return h[at], n if weights == "count" else np.ones(len(at)), np.searchsorted(of[at], np.arange(texts + 1))
 
 
 def weighted_set(words: np.ndarray, k: int = WORDS, weights: str = "set") -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingles, weights): 1 each ("set") or how often they occur ("count")."""
-    s = np.sort(shingle_hashes(words, k))
-    if not len(s):
-        return s, np.zeros(0)
-    at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    n = np.diff(np.append(at, len(s))).astype(np.float64)
-    return s[at], n if weights == "count" else np.ones(len(at))
-
-
-def dart_signature(elements: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-    """`size` hashes of a weighted set; equal ones with the chance of weighted Jaccard."""
-    total = float(weights.sum())
-    until = size * (math.log(size) + 4) / total
-    while True:
-        squares = np.ceil(weights).astype(np.int64)
-        times = max(1, math.ceil(until))
-        e = np.repeat(np.arange(len(elements)), squares * times)
-        nth = np.arange(len(e)) - np.repeat(np.cumsum(squares * times) - squares * times, squares * times)
-        high, early = nth // times, nth % times
-        seed = mix64(elements[e] + (high * 0x1F123BB5 + early * 0x2545F491).astype(_U) * _U(0x9E3779B97F4A7C15))
-        n = (seed >> _U(32)) < _POISSON[0]
-        at = np.flatnonzero(n)
-        darts = (((seed[at] >> _U(32))[:, None] < _POISSON[None, :]).sum(axis=1)).astype(np.int64)
-        src = np.repeat(at, darts)
-        nth = np.arange(len(src)) - np.repeat(np.cumsum(darts) - darts, darts)
-        dart = mix64(seed[src] + (nth + 1).astype(_U) * _U(0xD1342543DE82EF95))
-        place = mix64(dart)
-        time = early[src] + (dart >> _U(11)) * 2.0**-53
-        weight = high[src] + (place >> _U(32)) * 2.0**-32
-        keep = (time < until) & (weight < weights[e[src]])
-        dart, time = dart[keep], time[keep]
-        coordinate = ((place[keep] & _U(0xFFFFFFFF)) * _U(size) >> _U(32)).astype(np.int64)
-        order = np.argsort(time, kind="stable")[::-1]
-        out, filled = np.zeros(size, _U), np.zeros(size, bool)
-        out[coordinate[order]] = dart[order]  # the earliest is written last
-        filled[coordinate] = True
-        if filled.all():
-            return out
-        until *= 2
-
-
-def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    rows = signature.reshape(bands, -1)
-    h = np.arange(bands, dtype=_U) * _U(0x9E3779B97F4A7C15)
-    for j in range(rows.shape[1]):
-        h = mix64(h * _U(0xBF58476D1CE4E5B9) + rows[:, j])
+    return weighted_sets(words, np.array([0, len(words)]), k, weights)[:2]
+
+
+def dart_signatures(elements: np.ndarray, weights: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """`size` hashes for each weighted set of a block, none of them empty; those of two
+    sets are equal with the chance of their weighted Jaccard similarity."""
+    sets = len(first) - 1
+    out = np.zeros(sets * size, _U)
+    high = np.ceil(weights).astype(np.int64)
+    e = np.repeat(np.arange(len(elements)), high)
+    level = np.arange(len(e)) - np.repeat(np.cumsum(high) - high, high)
+    room = None if (high == weights).all() else weights[e] - level  # of a square, that lies below the weight
+    seed = mix64(elements[e] + level.astype(_U) * _U(0x9E3779B97F4A7C15))
+    doc = np.repeat(np.arange(sets), np.diff(first))[e]
+    squares = np.bincount(doc, minlength=sets)
+    step, begin, todo = np.clip(300 // np.maximum(squares, 1), 1, 256), np.zeros(sets, np.int64), np.ones(sets, bool)
+    while todo.any():
+        row = np.flatnonzero(todo[doc])
+        n = step[doc[row]]
+        if (n > 1).any():
+            later = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row = np.repeat(row, n)
+        else:
+            later = np.zeros(len(row), np.int64)
+        of = doc[row]
+        dart = mix64(seed[row] + (begin[of] + later + 1).astype(_U) * _U(0xD1342543DE82EF95))
+        place = of * size + ((dart & _U(0xFFFFFFFF)) * _U(size) >> _U(32)).astype(np.int64)
+        key = (place.astype(_U) << _U(38)) | (later.astype(_U) << _U(29)) | (dart >> _U(35))
+        if room is not None:
+            key = key[(mix64(dart) >> _U(11)) * 2.0**-53 < room[row]]
+        key.sort()
+        place = (key >> _U(38)).astype(np.int64)
+        new = np.ones(len(key), bool)
+        new[1:] = place[1:] != place[:-1]
+        new &= out[place] == 0
+        key, place = key[new], place[new]
+        out[place] = (key & _U((1 << 38) - 1)) + (begin[place // size].astype(_U) << _U(29)) + _U(1)
+        begin += step
+        todo &= ~(out.reshape(sets, size) != 0).all(axis=1)
+    return mix64(out).reshape(sets, size)
+
+
+def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """A hash for each band of each signature."""
+    rows = signatures.reshape(len(signatures), bands, -1)
+    h = np.broadcast_to(np.arange(bands, dtype=_U) * _U(0x9E3779B97F4A7C15), rows.shape[:2])
+    for j in range(rows.shape[2]):
+        h = mix64(h * _U(0xBF58476D1CE4E5B9) + rows[:, :, j])
     return h
 
 
@@ -99,15 +125,16 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
             for i, j, raw, offsets in text_blocks(batch.column(1)):
                 h, first, _, _ = hash_words(raw, offsets)
                 n = np.diff(first)
-                k1, k2, out = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), []
-                for d in range(j - i):
-                    own = h[first[d] : first[d + 1]]
-                    if len(own):
-                        at = np.arange(1, len(own) + 1, dtype=_U)
-                        key = np.array([(mix64(own + at * _U(s))).sum() for s in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)], _U).view(np.int64)
-                        k1[d], k2[d] = key
-                        out.append(band_hashes(dart_signature(*weighted_set(own, words, weights), bands * rows), bands))
-                found = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+                k1, k2 = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
+                some = np.flatnonzero(n)
+                found = np.zeros(0, np.int64)
+                if len(some):
+                    at = (np.arange(len(h)) - np.repeat(first[:-1], n) + 1).astype(_U)
+                    for k, m in ((k1, 0xA0761D6478BD642F), (k2, 0xE7037ED1A0B428DB)):
+                        k[some] = np.add.reduceat(mix64(h + at * _U(m)), first[some]).view(np.int64)
+                    elements, each, begin = weighted_sets(h, first, words, weights)
+                    begin = np.append(begin[some], len(elements))
+                    found = band_hashes(dart_signatures(elements, each, begin, bands * rows), bands).reshape(-1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], pa.array(k1), pa.array(k2), pa.array(n, pa.int64()), as_list(found, bands * (n > 0), pa.int64())],
                     names=["doc_id", "k1", "k2", "n_words", "bands"],
@@ -116,30 +143,46 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
     return renamed(docs, doc_id="doc_id", text="text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(sign, SIGNED)
 
 
-def similarities(pairs: DataFrame, texts: DataFrame, words: int = WORDS, weights: str = "set") -> DataFrame:
-    """(u, v, similarity) of pairs (u, v) of documents, on whole texts (node, text)."""
+SETS = "node long, shingles array<long>, weights array<double>"
+
+
+def shingle_sets(texts: DataFrame, words: int = WORDS, weights: str = "set") -> DataFrame:
+    """The weighted set of each of (node, text), shingles in order."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, raw, offsets in text_blocks(batch.column(1)):
+                h, first, _, _ = hash_words(raw, offsets)
+                e, w, begin = weighted_sets(h, first, words, weights)
+                n = np.diff(begin)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[i:j], as_list(e.view(np.int64), n, pa.int64()), as_list(w, n, pa.float64())], names=["node", "shingles", "weights"]
+                )
+
+    return texts.select("node", "text").mapInArrow(cut, SETS)
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(column.values), np.asarray(column.offsets)
+
+
+def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, similarity) of pairs (u, v) of documents with shingle_sets()."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[str, tuple] = {}
         for batch in batches:
-            found = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                sets = []
-                for key in (x.as_py(), y.as_py()):
-                    if key not in last:
-                        if len(last) > 64:
-                            last.clear()
-                        raw = np.frombuffer(key.encode("utf-8", "surrogatepass"), np.uint8)
-                        last[key] = weighted_set(hash_words(raw, np.array([0, len(raw)]))[0], words, weights)
-                    sets.append(last[key])
-                (a, wa), (b, wb) = sets
-                _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-                low = float(np.minimum(wa[i], wb[j]).sum())
-                found.append(low / (wa.sum() + wb.sum() - low) if len(a) and len(b) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["u", "v", "similarity"])
-
-    a, b = texts.select(F.col("node").alias("u"), F.col("text").alias("x")), texts.select(F.col("node").alias("v"), F.col("text").alias("y"))
-    return pairs.join(b, "v").join(a, "u").select("u", "v", "x", "y").mapInArrow(compare, "u long, v long, similarity double")
+            (a, ao), (wa, _), (b, bo), (wb, _) = (_lists(batch.column(k)) for k in (2, 3, 4, 5))
+            found = np.zeros(len(batch))
+            for k in range(len(batch)):
+                x, y = slice(ao[k], ao[k + 1]), slice(bo[k], bo[k + 1])
+                _, i, j = np.intersect1d(a[x], b[y], assume_unique=True, return_indices=True)
+                low = np.minimum(wa[x][i], wb[y][j]).sum()
+                found[k] = low / max(wa[x].sum() + wb[y].sum() - low, 1e-300)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["u", "v", "similarity"])
+
+    a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"), F.col("weights").alias("wx"))
+    b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"), F.col("weights").alias("wy"))
+    return pairs.join(b, "v").join(a, "u").select("u", "v", "x", "wx", "y", "wy").mapInArrow(compare, "u long, v long, similarity double")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
@@ -160,7 +203,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     members = written(members.join(sizes, "bucket"), "buckets")
     degree = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
     ids = renamed(docs, node="doc_id", text="text").selectExpr("cast(node as long) node", "text")
-    texts = written(ids.join(degree.select("node"), "node"), "texts")
+    sets = written(shingle_sets(ids.join(degree.select("node"), "node"), words, weights), "shingle-sets")
     members = written(members.join(degree, "node").select("bucket", "node", "degree", F.col("node").alias("class")), "members")
 
     links, classes, step = None, None, 0
@@ -171,7 +214,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         if members.isEmpty():
             break
         small = F.col("n") <= SMALL_BUCKET
-        part = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2**step))
+        part = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(8**step))
         best = F.max(F.struct("degree", (-F.col("node")).alias("minus"), "class"))
         hubs = members.where(~small).groupBy("bucket", part.alias("part")).agg(best.alias("hub")).select("bucket", (-F.col("hub.minus")).alias("h"), F.col("hub.class").alias("hc"))
         few = members.where(small).select("bucket", F.col("node").alias("h"), F.col("class").alias("hc"))
@@ -180,12 +223,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
             members.join(centres, "bucket").where("class <> hc")
             .select(F.least("h", "node").alias("u"), F.greatest("h", "node").alias("v")).distinct()
         )
-        found = written(similarities(pairs, texts, words, weights).where(F.col("similarity") >= similarity).select("u", "v"), "near")
-        links = found if links is None else links.unionByName(found)
-        classes = components(links)
-        known = classes.select("node", F.col("component").alias("now"))
+        found = written(similarities(pairs, sets).where(F.col("similarity") >= similarity).select("u", "v"), "near")
         done = centres.select("bucket", F.col("h").alias("node"))
-        members = members.join(done, ["bucket", "node"], "left_anti").join(known, "node", "left").select("bucket", "node", "degree", F.coalesce("now", "class").alias("class"))
+        members = members.join(done, ["bucket", "node"], "left_anti").select("bucket", "node", "degree", "class")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            classes = components(links)
+            known = classes.select("node", F.col("component").alias("now"))
+            members = members.join(known, "node", "left").select("bucket", "node", "degree", F.coalesce("now", "class").alias("class"))
         step += 1
 
     keys = nodes.where("node is not null").select("k1", "k2", "node")
