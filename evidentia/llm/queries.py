@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from evidentia.llm.decontaminate import op7_decontaminate
+from evidentia.llm.embedding_graph import op8_embedding_graph
 from evidentia.llm.language_id import op6_language_id
+from evidentia.llm.language_model import op9_language_model
 from evidentia.llm.line_dedup import op10_line_dedup
 from evidentia.llm.minhash import op4_minhash
 from evidentia.llm.packing import op2_packing
@@ -19,6 +21,8 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
+    "op8_embedding_graph": op8_embedding_graph,
+    "op9_language_model": op9_language_model,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL = {"op5_url_filter": OP5_SQL}
