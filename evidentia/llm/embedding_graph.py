@@ -31,7 +31,9 @@ COSINE = 0.93
 #: Vectors in a shard before overlap, shards of a vector, clusters of all labels and vectors to fit them on at most.
 SHARD, OVERLAP, CLUSTERS, SAMPLE = 1500, 2, 4096, 40_000
 #: Neighbours of a vector, slack of pruning, beam, vectors expanded at a time, queries at a time.
-DEGREE, SLACK, BEAM, WIDTH, BATCH = 24, 1.2, 48, 4, 512
+DEGREE, SLACK, BEAM, WIDTH, BATCH, MEDOIDS = 32, 1.0, 48, 4, 512, 32
+#: Times every point is inserted, and the share of a shard inserted at a time.
+PASSES, STEP = 2, 20
 
 
 class Graph:
@@ -39,22 +41,24 @@ class Graph:
 
     def __init__(self, x: np.ndarray, adjacency: np.ndarray | None = None):
         self.x, self.n = x, len(x)
-        mean = x.mean(axis=0)
-        self.medoid = int(np.argmax(x @ mean))
+        # where searches start: the points nearest to the centres of MEDOIDS clusters
+        self.medoids = np.unique(np.argmax(x @ centroids(x, min(MEDOIDS, self.n)).T, axis=0))
         self.near = np.full((self.n, DEGREE), -1, np.int64) if adjacency is None else adjacency
 
     def search(self, q: np.ndarray, beam: int, least: float = np.inf) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """(beam's points, all points seen, (query, point) with a cosine of `least` or more
-        among those seen) of each query, from the medoid."""
+        among those seen) of each query, from the medoids."""
         ids = np.full((len(q), beam), -1, np.int64)
         sims = np.full((len(q), beam), -np.inf)
         done = np.zeros((len(q), beam), bool)
         seen = np.zeros((len(q), self.n + 1), bool)
         seen[:, -1] = True  # the place of absent neighbours
-        ids[:, 0], sims[:, 0] = self.medoid, q @ self.x[self.medoid]
-        seen[:, self.medoid] = True
-        active, first = np.arange(len(q)), np.flatnonzero(sims[:, 0] >= least)
-        hits = [(first, np.full(len(first), self.medoid))]
+        k = len(self.medoids)
+        ids[:, :k], sims[:, :k] = self.medoids, q @ self.x[self.medoids].T
+        seen[:, self.medoids] = True
+        active = np.arange(len(q))
+        near, place = np.nonzero(sims[:, :k] >= least)
+        hits = [(near, self.medoids[place])]
         while len(active):
             open_ = np.where(done[active] | (ids[active] < 0), -np.inf, sims[active])
             pick = np.argsort(-open_, axis=1)[:, :WIDTH]
@@ -103,13 +107,16 @@ class Graph:
         return out
 
     def build(self) -> Graph:
-        order = np.random.default_rng(self.n).permutation(self.n)
-        order = np.concatenate(([self.medoid], order[order != self.medoid]))
-        at = 1
-        while at < self.n:
-            batch = order[at : at + min(at, BATCH)]
+        rest = np.setdiff1d(np.arange(self.n), self.medoids)
+        order = np.concatenate((self.medoids, np.random.default_rng(self.n).permutation(rest)))
+        size = max(16, min(BATCH, self.n // STEP))
+        self.near[self.medoids] = self.prune(self.medoids, np.broadcast_to(self.medoids, (len(self.medoids),) * 2))
+        todo = np.concatenate([order[len(self.medoids) :], *[order] * (PASSES - 1)])
+        at = 0
+        while at < len(todo):
+            batch = todo[at : at + size]
             ids, _, _ = self.search(self.x[batch], BEAM)
-            self.near[batch] = self.prune(batch, ids)
+            self.near[batch] = self.prune(batch, np.concatenate([ids, self.near[batch]], axis=1))
             # links back; a point with more than its share is pruned again
             to, back = self.near[batch].ravel(), np.repeat(batch, DEGREE)
             to, back = to[to >= 0], back[to >= 0]
