@@ -1,0 +1,112 @@
+"""Pipelines declared as steps, composed lazily into one DataFrame plan."""
+
+from __future__ import annotations
+
+import copy
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from typing import Any
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evidentia.functions import text as T
+from evidentia.operators import evidence as E
+
+Step = Callable[["State", dict], "State"]
+_steps: dict[str, Step] = {}
+
+
+@dataclass
+class State:
+    """The tables of a run and its log."""
+
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+    log: list[dict[str, Any]] = field(default_factory=list)
+
+    def with_table(self, name: str, df: DataFrame) -> State:
+        return State({**self.tables, name: df}, self.log)
+
+
+def step(name: str) -> Callable[[Step], Step]:
+    def add(f: Step) -> Step:
+        _steps[name] = f
+        return f
+
+    return add
+
+
+def check(config: dict) -> None:
+    """Raises on an unknown step before anything runs."""
+    for s in config.get("steps", config.get("settings", {}).get("steps", [])):
+        if s["type"] == "module":
+            check(s["settings"])
+        elif s["type"] not in _steps:
+            raise ValueError(f"unknown step type: {s['type']}")
+
+
+def run(config: dict, state: State, depth: int = 0) -> State:
+    if not depth:
+        check(config)
+    for s in config["steps"]:
+        settings, start = s.get("settings", {}), time.time()
+        module = s["type"] == "module"
+        state = run(settings, state, depth + 1) if module else _steps[s["type"]](state, settings)
+        state.log.append({"step": settings.get("name", s["type"]), "duration": time.time() - start, "indent": depth, "is_module": module})
+    return state
+
+
+def with_statement(config: dict, statement: str) -> dict:
+    """A copy of config that starts from one statement."""
+    out = copy.deepcopy(config)
+    out["steps"].insert(0, {"type": "mock_statements", "settings": {"statements": [{"id": 1, "text": statement}]}})
+    return out
+
+
+@step("mock_transcript")
+def _transcript(state: State, settings: dict) -> State:
+    spark = next(iter(state.tables.values())).sparkSession
+    return state.with_table("runs", spark.createDataFrame([(1, settings.get("transcript_text", ""))], "run_id int, transcript string"))
+
+
+@step("mock_statements")
+def _statements(state: State, settings: dict) -> State:
+    spark = next(iter(state.tables.values())).sparkSession
+    rows = [(1, s.get("id", n), s.get("text", "Unknown Claim")) for n, s in enumerate(settings.get("statements", []), 1)]
+    return state.with_table("statements", spark.createDataFrame(rows, "run_id int, stmt_id int, text string"))
+
+
+@step("extract_statements")
+def _extract(state: State, settings: dict) -> State:
+    reply = settings.get("reply", lambda c: F.lit(None).cast("string"))
+    runs = state.tables["runs"]
+    claims = runs.select("run_id", F.posexplode(T.claims_of_reply(reply(F.col("transcript")), F.col("transcript"))).alias("n", "text"))
+    return state.with_table("statements", claims.select("run_id", (F.col("n") + 1).alias("stmt_id"), "text"))
+
+
+@step("weight_evidence")
+def _weight(state: State, settings: dict) -> State:
+    w = E.publication_weight(F.col("pub_type"), settings.get("default_weight", 0.4))
+    own = F.col("source_type").isin("PubMed", "Epistemonikos")
+    return state.with_table("evidence", state.tables["evidence"].withColumn("weight", F.when(own, w).otherwise(F.col("weight"))))
+
+
+@step("rerank")
+def _rerank(state: State, settings: dict) -> State:
+    """relevance by a scorer of (claim, passage) columns; by default the share of the claim's words in the passage."""
+    score = settings.get("scorer", lexical)
+    e = state.tables["evidence"].join(state.tables["statements"].select("stmt_id", F.col("text").alias("claim")), "stmt_id")
+    e = e.withColumn("relevance", score(F.col("claim"), F.concat_ws("\n\n", "title", "abstract"))).drop("claim")
+    return state.with_table("evidence", E.min_relevance(e, settings.get("min_relevance", 0.7)))
+
+
+def lexical(claim, passage):
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)")))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(words(claim), words(passage))).cast("double"), F.size(words(claim))), F.lit(0.0))
+
+
+@step("scoring")
+def _score(state: State, settings: dict) -> State:
+    scored = state.tables["statements"].groupBy("run_id").agg(E.penalty_mean(F.col("score"), settings.get("threshold", 0.3)).alias("overall"))
+    return state.with_table("scores", scored)
