@@ -31,7 +31,7 @@ COSINE = 0.93
 #: Vectors in a shard before overlap, shards of a vector, clusters of all labels and vectors to fit them on at most.
 SHARD, OVERLAP, CLUSTERS, SAMPLE = 1500, 2, 4096, 40_000
 #: Neighbours of a vector, slack of pruning, beam, vectors expanded at a time, queries at a time.
-DEGREE, SLACK, BEAM, WIDTH, BATCH, MEDOIDS = 32, 1.0, 48, 4, 512, 32
+DEGREE, SLACK, BEAM, WIDTH, BATCH, MEDOIDS = 32, 1.0, 96, 6, 512, 32
 #: Times every point is inserted, and the share of a shard inserted at a time.
 PASSES, STEP = 2, 20
 
@@ -93,7 +93,7 @@ class Graph:
         far = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("pd,pnd->pn", self.x[points], self.x[ids])))
         far[ids < 0] = np.inf
         out = np.full((len(points), DEGREE), -1, np.int64)
-        rows = np.arange(len(points))
+        rows, whole = np.arange(len(points)), far.copy()
         for k in range(DEGREE):
             pick = np.argmin(far, axis=1)
             some = far[rows, pick] < np.inf
@@ -104,6 +104,14 @@ class Graph:
             between = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("pd,pnd->pn", self.x[kept], self.x[ids])))
             far[(SLACK * between <= far) & some[:, None]] = np.inf
             far[rows, pick] = np.inf
+            whole[rows[some], pick[some]] = np.inf
+        # room that is left goes to the nearest of the others
+        rest = np.argsort(whole, axis=1, kind="stable")[:, :DEGREE]
+        others = np.where(np.take_along_axis(whole, rest, 1) < np.inf, np.take_along_axis(ids, rest, 1), -1)
+        kept = (out >= 0).sum(axis=1)
+        for k in range(min(DEGREE, others.shape[1])):
+            free = np.flatnonzero((kept + k < DEGREE) & (others[:, k] >= 0))
+            out[free, kept[free] + k] = others[free, k]
         return out
 
     def build(self) -> Graph:
