@@ -10,9 +10,10 @@ document of total weight W, so a long document throws one or two darts per eleme
 
 Signatures are joined in bands. Copies share one entry. In a band's bucket no pairs
 of all members are made: members are compared with a hub, the one with most
-neighbours; those still apart from it in the next round with 8 more hubs, then 64,
+neighbours; those still apart from it in the next round with 2 more hubs, then 4,
 until every member that isn't in one class with the rest has been a hub itself.
-Each comparison is exact, on the shingles of both texts.
+Pairs whose signatures are too far apart are left out first; each comparison is
+exact, on the shingles of both texts.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h
 
 
-SIGNED = "doc_id long, k1 long, k2 long, n_words long, bands array<long>"
+SIGNED = "doc_id long, k1 long, k2 long, n_words long, bands array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
@@ -127,17 +128,20 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
                 n = np.diff(first)
                 k1, k2 = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
                 some = np.flatnonzero(n)
-                found = np.zeros(0, np.int64)
+                found, sketch = np.zeros(0, np.int64), [None] * (j - i)
                 if len(some):
                     at = (np.arange(len(h)) - np.repeat(first[:-1], n) + 1).astype(_U)
                     for k, m in ((k1, 0xA0761D6478BD642F), (k2, 0xE7037ED1A0B428DB)):
                         k[some] = np.add.reduceat(mix64(h + at * _U(m)), first[some]).view(np.int64)
                     elements, each, begin = weighted_sets(h, first, words, weights)
                     begin = np.append(begin[some], len(elements))
-                    found = band_hashes(dart_signatures(elements, each, begin, bands * rows), bands).reshape(-1).view(np.int64)
+                    signed = dart_signatures(elements, each, begin, bands * rows)
+                    found = band_hashes(signed, bands).reshape(-1).view(np.int64)
+                    for d, own in zip(some, signed.astype(np.uint8), strict=True):
+                        sketch[d] = own.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(k1), pa.array(k2), pa.array(n, pa.int64()), as_list(found, bands * (n > 0), pa.int64())],
-                    names=["doc_id", "k1", "k2", "n_words", "bands"],
+                    [batch.column(0)[i:j], pa.array(k1), pa.array(k2), pa.array(n, pa.int64()), as_list(found, bands * (n > 0), pa.int64()), pa.array(sketch, pa.binary())],
+                    names=["doc_id", "k1", "k2", "n_words", "bands", "sketch"],
                 )
 
     return renamed(docs, doc_id="doc_id", text="text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(sign, SIGNED)
@@ -185,6 +189,21 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(b, "v").join(a, "u").select("u", "v", "x", "wx", "y", "wy").mapInArrow(compare, "u long, v long, similarity double")
 
 
+def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) whose sketches (a byte of each coordinate) agree in no fewer places than
+    the similarity implies, less six standard deviations: one in 10^9 is lost."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), -1) for k in (2, 3))
+            size = max(1, x.shape[1])
+            least = similarity - 6 * np.sqrt(similarity * (1 - similarity) / size)
+            yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= least)) if len(batch) else batch.select([0, 1])
+
+    a, b = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("x")), sketches.select(F.col("node").alias("v"), F.col("sketch").alias("y"))
+    return pairs.join(b, "v").join(a, "u").select("u", "v", "x", "y").mapInArrow(keep, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
     """doc_id, class_id, n_words and kept of each row; class_id is the least doc_id of its class.
 
@@ -196,7 +215,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     document. A null doc_id links nothing and stays unless a copy has an id.
     """
     signed = written(signatures(docs, words, bands, rows, weights), "signatures")
-    copies = signed.where("n_words > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    copies = signed.where("n_words > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = written(copies, "distinct-texts")
     members = nodes.where("node is not null").select("node", F.explode("bands").alias("bucket")).distinct()
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -204,6 +223,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     degree = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
     ids = renamed(docs, node="doc_id", text="text").selectExpr("cast(node as long) node", "text")
     sets = written(shingle_sets(ids.join(degree.select("node"), "node"), words, weights), "shingle-sets")
+    sketches = written(nodes.join(degree.select("node"), "node").select("node", "sketch"), "sketches")
     members = written(members.join(degree, "node").select("bucket", "node", "degree", F.col("node").alias("class")), "members")
 
     links, classes, step = None, None, 0
@@ -214,7 +234,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         if members.isEmpty():
             break
         small = F.col("n") <= SMALL_BUCKET
-        part = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(8**step))
+        part = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2**step))
         best = F.max(F.struct("degree", (-F.col("node")).alias("minus"), "class"))
         hubs = members.where(~small).groupBy("bucket", part.alias("part")).agg(best.alias("hub")).select("bucket", (-F.col("hub.minus")).alias("h"), F.col("hub.class").alias("hc"))
         few = members.where(small).select("bucket", F.col("node").alias("h"), F.col("class").alias("hc"))
@@ -223,6 +243,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
             members.join(centres, "bucket").where("class <> hc")
             .select(F.least("h", "node").alias("u"), F.greatest("h", "node").alias("v")).distinct()
         )
+        pairs = written(likely(pairs, sketches, similarity), "pairs")
         found = written(similarities(pairs, sets).where(F.col("similarity") >= similarity).select("u", "v"), "near")
         done = centres.select("bucket", F.col("h").alias("node"))
         members = members.join(done, ["bucket", "node"], "left_anti").select("bucket", "node", "degree", "class")
