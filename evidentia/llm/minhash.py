@@ -10,10 +10,12 @@ document of total weight W, so a long document throws one or two darts per eleme
 
 Signatures are joined in bands. Copies share one entry. In a band's bucket no pairs
 of all members are made: members are compared with a hub, the one with most
-neighbours; those still apart from it in the next round with 2 more hubs, then 4,
-until every member that isn't in one class with the rest has been a hub itself.
-Pairs whose signatures are too far apart are left out first; each comparison is
-exact, on the shingles of both texts.
+neighbours. Buckets still apart after that are split by prefixes: of shingles in one
+order, rare ones first, two texts that are similar enough share one of the first few.
+In these finer buckets members are again compared with a hub, those
+still apart with 2 more, then 4, until every member that isn't in one class with the
+rest has been a hub itself. Pairs whose signatures are too far apart are left out
+first; each comparison is exact, on the shingles of both texts.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import _U, as_list, hash_words, mix64, renamed, shingle_hashes, table, text_blocks, written
@@ -33,6 +35,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
 #: A bucket of at most so many members is compared at once.
 SMALL_BUCKET = 8
+#: Places of the sketch that orders shingles by how common they are: 8 MB, of any corpus.
+SLOTS = 1 << 20
+
 
 def weighted_sets(words: np.ndarray, first: np.ndarray, k: int = WORDS, weights: str = "set") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct shingles, weights, first shingle of each text and the end) of a block of texts.
@@ -189,6 +194,64 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(b, "v").join(a, "u").select("u", "v", "x", "wx", "y", "wy").mapInArrow(compare, "u long, v long, similarity double")
 
 
+#: Rests are sums of doubles: a rest smaller by this share still counts.
+SLIGHT = 1e-9
+
+
+def meet(rest: Column, other: Column, weights: Column, similarity: float) -> Column:
+    """Whether the rests at a shingle are what sets with this sum of weights must share."""
+    return F.least(rest, other) >= F.lit(similarity / (1 + similarity) * (1 - SLIGHT)) * weights
+
+
+def frequencies(sets: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """How many shingles of all the sets fall to each of `slots` places: a sketch of fixed size,
+    counted in each task first, that tells shingles of many sets from rare ones."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            values, offsets = _lists(batch.column(0))
+            total += np.bincount(values[offsets[0] : offsets[-1]].view(_U) % _U(slots), minlength=slots)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    found = sets.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(slots, np.int64)
+    out[found["slot"].to_numpy(np.int64)] = found["n"]
+    return out
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, node, rest, weight) of each set: a row for each shingle of its prefix.
+
+    Shingles have one order, rare ones first; how rare need not be exact. weight is the
+    set's, rest what of it begins at the shingle. Sets x and y as similar have
+    s / (1 + s) (weight x + weight y) in common, so also a shingle with a rest of that
+    much in both: see `meet`. A prefix ends where no set could ask for less.
+    """
+    held = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = held.value
+        for batch in batches:
+            (a, ao), (w, _) = (_lists(batch.column(k)) for k in (1, 2))
+            found, rests, whole = [np.zeros(0, np.int64)], [np.zeros(0)], np.zeros(len(batch))
+            for k in range(len(batch)):
+                own, each = a[ao[k] : ao[k + 1]], w[ao[k] : ao[k + 1]]
+                order = np.lexsort((own, many[own.view(_U) % _U(len(many))]))
+                each = each[order]
+                rest = each.sum() - np.cumsum(each) + each
+                whole[k] = each.sum()
+                taken = rest >= similarity * whole[k] * (1 - SLIGHT)
+                found.append(own[order[taken]])
+                rests.append(rest[taken])
+            n = [len(x) for x in found[1:]]
+            node, weight = np.repeat(np.asarray(batch.column(0)), n), np.repeat(whole, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(node), pa.array(np.concatenate(rests)), pa.array(weight)], names=["bucket", "node", "rest", "weight"])
+
+    return sets.select("node", "shingles", "weights").mapInArrow(cut, "bucket long, node long, rest double, weight double")
+
+
 def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """Pairs (u, v) whose sketches (a byte of each coordinate) agree in no fewer places than
     the similarity implies, less six standard deviations: one in 10^9 is lost."""
@@ -224,35 +287,45 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     ids = renamed(docs, node="doc_id", text="text").selectExpr("cast(node as long) node", "text")
     sets = written(shingle_sets(ids.join(degree.select("node"), "node"), words, weights), "shingle-sets")
     sketches = written(nodes.join(degree.select("node"), "node").select("node", "sketch"), "sketches")
-    members = written(members.join(degree, "node").select("bucket", "node", "degree", F.col("node").alias("class")), "members")
+    members = written(members.join(degree, "node").select("bucket", "node", "degree", F.col("node").alias("class"), F.lit(float("inf")).alias("rest"), F.lit(0.0).alias("weight")), "members")
 
-    links, classes, step = None, None, 0
+    # a row leads if it could meet one as heavy: of two that meet the lighter does
+    leads = meet(F.col("rest"), F.col("rest"), 2 * F.col("weight"), similarity)
+    links, classes, step, split = None, None, 0, False
     while True:
-        # buckets whose members are still in more than one class
-        apart = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket", "n")
-        members = written(members.join(apart, "bucket").select("bucket", "node", "degree", "class", "n"), "members")
+        # buckets whose members are still in more than one class, and that have one that leads
+        apart = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.max(leads).alias("some")).where("lo <> hi and some").select("bucket", "n")
+        members = written(members.join(apart, "bucket").select("bucket", "node", "degree", "class", "rest", "weight", "n"), "members")
         if members.isEmpty():
             break
         small = F.col("n") <= SMALL_BUCKET
         part = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2**step))
-        best = F.max(F.struct("degree", (-F.col("node")).alias("minus"), "class"))
-        hubs = members.where(~small).groupBy("bucket", part.alias("part")).agg(best.alias("hub")).select("bucket", (-F.col("hub.minus")).alias("h"), F.col("hub.class").alias("hc"))
-        few = members.where(small).select("bucket", F.col("node").alias("h"), F.col("class").alias("hc"))
+        best = F.max(F.struct("degree", (-F.col("node")).alias("minus"), "class", "rest", "weight"))
+        hubs = members.where(~small & leads).groupBy("bucket", part.alias("part")).agg(best.alias("hub")).select("bucket", (-F.col("hub.minus")).alias("h"), F.col("hub.class").alias("hc"), F.col("hub.rest").alias("hr"), F.col("hub.weight").alias("hw"))
+        few = members.where(small & leads).select("bucket", F.col("node").alias("h"), F.col("class").alias("hc"), F.col("rest").alias("hr"), F.col("weight").alias("hw"))
         centres = written(hubs.unionByName(few), "hubs")
         pairs = (
-            members.join(centres, "bucket").where("class <> hc")
+            members.join(centres, "bucket").where("class <> hc").where(meet(F.col("rest"), F.col("hr"), F.col("weight") + F.col("hw"), similarity))
             .select(F.least("h", "node").alias("u"), F.greatest("h", "node").alias("v")).distinct()
         )
         pairs = written(likely(pairs, sketches, similarity), "pairs")
         found = written(similarities(pairs, sets).where(F.col("similarity") >= similarity).select("u", "v"), "near")
         done = centres.select("bucket", F.col("h").alias("node"))
-        members = members.join(done, ["bucket", "node"], "left_anti").select("bucket", "node", "degree", "class")
+        members = members.join(done, ["bucket", "node"], "left_anti").select("bucket", "node", "degree", "class", "rest", "weight")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             classes = components(links)
             known = classes.select("node", F.col("component").alias("now"))
-            members = members.join(known, "node", "left").select("bucket", "node", "degree", F.coalesce("now", "class").alias("class"))
-        step += 1
+            members = members.join(known, "node", "left").select("bucket", "node", "degree", F.coalesce("now", "class").alias("class"), "rest", "weight")
+        if split:
+            step += 1
+            continue
+        # only buckets of many members are left: those still apart are split, once
+        members, split = written(members, "members"), True
+        apart = members.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
+        known = written(members.join(apart, "bucket").select("node", "degree", "class").distinct(), "crowds")
+        finer = prefixes(written(sets.join(known.select("node"), "node", "left_semi"), "crowd-sets"), similarity)
+        members = finer.join(known, "node").select("bucket", "node", "degree", "class", "rest", "weight")
 
     keys = nodes.where("node is not null").select("k1", "k2", "node")
     if classes is not None:

@@ -178,3 +178,24 @@ def test_repeated_rows_lose_the_same_lines(spark):
     rows = [(1, "this line is common here"), (1, "this line is common here"), (2, "this line is common here"), (2, "this line is common here"), (3, "this line is common here"), (None, "this line is common here")]
     got = sorted((r.doc_id or 0, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(0, 0), (1, 1), (1, 1), (2, 1), (2, 1), (3, 1)]
+
+
+@pytest.mark.parametrize("weights", ["set", "count"])
+def test_a_crowd_below_the_similarity_with_near_copies_inside(spark, weights, monkeypatch):
+    """Texts that share most words meet in buckets of many; only some are links."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared, rows = [word() for _ in range(90)], []
+    for _ in range(80):
+        own = [word() for _ in range(35)]
+        for _ in range(rng.choice((1, 1, 2, 3))):
+            copy = list(own)
+            for _ in range(rng.choice((0, 0, 1))):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(shared + copy)))
+    split = []
+    cut = minhash.prefixes
+    monkeypatch.setattr(minhash, "prefixes", lambda *a: split.append(cut(*a)) or split[-1])
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weights=weights).collect()
+    assert split  # the case is one of a crowd
+    assert {r.doc_id: r.class_id for r in found} == classes(rows, weights=weights)
