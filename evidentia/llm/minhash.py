@@ -189,7 +189,8 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 found[k] = low / max(wa[x].sum() + wb[y].sum() - low, 1e-300)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["u", "v", "similarity"])
 
-    a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"), F.col("weights").alias("wx"))
+    asked = pairs.select(F.col("u").alias("node")).distinct()  # few sets are moved for few pairs
+    a = sets.join(asked, "node", "left_semi").select(F.col("node").alias("u"), F.col("shingles").alias("x"), F.col("weights").alias("wx"))
     b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"), F.col("weights").alias("wy"))
     return pairs.join(b, "v").join(a, "u").select("u", "v", "x", "wx", "y", "wy").mapInArrow(compare, "u long, v long, similarity double")
 
@@ -263,7 +264,9 @@ def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
             least = similarity - 6 * np.sqrt(similarity * (1 - similarity) / size)
             yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= least)) if len(batch) else batch.select([0, 1])
 
-    a, b = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("x")), sketches.select(F.col("node").alias("v"), F.col("sketch").alias("y"))
+    pairs = written(pairs, "candidates")
+    asked = pairs.select(F.col("u").alias("node")).distinct()
+    a, b = sketches.join(asked, "node", "left_semi").select(F.col("node").alias("u"), F.col("sketch").alias("x")), sketches.select(F.col("node").alias("v"), F.col("sketch").alias("y"))
     return pairs.join(b, "v").join(a, "u").select("u", "v", "x", "y").mapInArrow(keep, "u long, v long")
 
 
@@ -280,10 +283,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     signed = written(signatures(docs, words, bands, rows, weights), "signatures")
     copies = signed.where("n_words > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = written(copies, "distinct-texts")
-    members = nodes.where("node is not null").select("node", F.explode("bands").alias("bucket")).distinct()
+    members = nodes.where("node is not null").select("node", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(members.join(sizes, "bucket"), "buckets")
-    degree = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
+    # written first: a join plans by the size of a table, and few texts share a bucket
+    members = written(members.join(written(sizes, "bucket-sizes"), "bucket").distinct(), "buckets")
+    degree = written(members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree")), "degrees")
     ids = renamed(docs, node="doc_id", text="text").selectExpr("cast(node as long) node", "text")
     sets = written(shingle_sets(ids.join(degree.select("node"), "node"), words, weights), "shingle-sets")
     sketches = written(nodes.join(degree.select("node"), "node").select("node", "sketch"), "sketches")
