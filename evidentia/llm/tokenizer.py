@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A worker keeps the ids of at most so many distinct words, then starts afresh.
 MEMO_WORDS = 1_200_000
-#: Characters at which str.split() cuts but the tokenizer's own white space doesn't.
-ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f", "᠎")
+#: Lower-case Latin letters that Unicode's normal form C leaves as they are, with one
+#: mark at most after them.
+LATIN = re.compile("([a-z\xdf-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017f]+)([.,;:!?]?)")
+#: So many words of Latin letters are encoded as one text.
+TOGETHER = 512
+#: Ends the last piece of each pre-token in the vocabulary.
+WORD_END = "</w>"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -23,8 +31,11 @@ class Encoder:
 
     The tokenizer drops white space and never merges across it, so the ids of a
     text are those of its words in turn; a word met before isn't encoded again.
-    A word in ASCII that ends in a letter and one punctuation mark is encoded as
-    the lower-cased letters and the mark, as the tokenizer's own pattern cuts it.
+    A word of Latin letters and one punctuation mark is encoded as the lower-cased
+    letters and the mark, as the tokenizer's own pattern cuts it. New words of Latin
+    letters alone are encoded many at a time: each is one pre-token, whose last piece
+    the vocabulary marks, so the ids are cut there. If the cuts aren't as many as the
+    words (another vocabulary), they are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -33,8 +44,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        pieces = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(pieces.values()) + 1, bool)
+        self.ends[[i for p, i in pieces.items() if p.endswith(WORD_END) and p != WORD_END]] = True
         self.memo: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [
@@ -42,29 +56,58 @@ class Encoder:
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        words = [None if any(c in t for c in ODD_SPACES) else t.split() for t in texts]
-        missing = set().union(*[w for w in words if w is not None]) - self.memo.keys()
+    def _encode_latin(self, words: list[str]) -> list[bytes]:
+        found = []
+        for i in range(0, len(words), TOGETHER):
+            some = words[i : i + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            raw = ids.tobytes()
+            if len(cuts) == len(some) + 1 and cuts[-1] == len(raw):
+                found += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            else:
+                found += self._encode(some)
+        return found
+
+    def _known(self, met: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        missing = [w for w in met if w not in self.memo]
         if missing:
             if len(self.memo) + len(missing) > MEMO_WORDS:
-                self.memo, self.cores = {}, {"": b""}
-                missing = set().union(*[w for w in words if w is not None])
-            parts = {}
+                self.memo, self.cores, missing = {}, {}, met
+            cores, memo = self.cores, self.memo
+            heads, tails, words, latin, other = [], [], [], {}, []
             for w in missing:
-                core, mark = w, ""
-                if w.isascii():
-                    core = w.lower()
-                    if len(core) > 1 and core[-1] in ".,;:!?" and core[-2].isalpha():
-                        core, mark = core[:-1], core[-1]
-                parts[w] = core, mark
-            new = list({c for pair in parts.values() for c in pair if c} - self.cores.keys())
-            self.cores.update(zip(new, self._encode(new), strict=True))
-            self.memo.update((w, self.cores[c] + self.cores[m]) for w, (c, m) in parts.items())
-        get = self.memo.__getitem__
-        return [
-            self._encode([t])[0] if w is None else b"".join(map(get, w))
-            for t, w in zip(texts, words, strict=True)
-        ]
+                m = LATIN.fullmatch(w.lower())
+                if m is None:
+                    other.append(w)
+                    continue
+                core, mark = m.groups()
+                words.append(w)
+                heads.append(core)
+                tails.append(mark)
+                if core not in cores:
+                    latin[core] = None
+            memo.update(zip(other, self._encode(other), strict=True))
+            cores.update(zip(latin, self._encode_latin(list(latin)), strict=True))
+            marks = {m: self._encode([m])[0] if m else b"" for m in set(tails)}
+            for w, core, mark in zip(words, heads, tails, strict=True):
+                memo[w] = cores[core] + marks[mark]
+        return [self.memo[w] for w in met]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text: cut at ASCII white space, its words numbered, and the
+        ids of distinct words laid out by those numbers."""
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        words = cut.flatten().dictionary_encode()
+        pieces = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        code = words.indices.to_numpy()
+        ends = np.zeros(len(code) + 1, np.int64)
+        np.cumsum(size[code], out=ends[1:])
+        raw = b"".join(map(pieces.__getitem__, code.tolist()))
+        bounds = ends[cut.offsets.to_numpy()].tolist()
+        return [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -77,7 +120,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def small_batches(texts: list[str], limit: int = 1 << 20):
+def small_batches(texts: list[str], limit: int = 4 << 20):
     """(first, after the last) of runs of texts of about limit characters."""
     i = 0
     while i < len(texts):
