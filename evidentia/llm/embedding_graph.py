@@ -1,17 +1,18 @@
-"""Near-duplicate embeddings by a robust-pruned flat graph.
+"""Near-duplicate embeddings: the graph of all links, by shards with exact borders.
 
-Vectors of one label are dealt to clusters, each to its OVERLAP nearest, and every
-cluster's shard builds a graph: points are inserted in batches that double, each
-searches the graph so far for candidates and keeps those that no kept one is
-decisively nearer to (robust pruning). The adjacency lists that a vector got in its
-shards are united. Every vector is then a query: a greedy search from the shard's
-medoid with a beam, which goes on from each vector found in range, the query's own
-place included, to all its neighbours until none is new. Links are verified by cosine in double precision.
+Vectors of one label are dealt to clusters, each to its nearest as its home. A vector is
+also a guest of every cluster whose border is so near that a vector in range of it can be
+at home beyond (see reached()). In each shard all guests, and all at home, are compared
+with all at home there, and links verified by cosine in double precision, so no link is
+lost. A shard has some 1,500 vectors; a proximity graph on so few took more time than to
+compare them all, and lost links.
+
+How many clusters a vector is a guest of depends on the vectors: where they fill all
+dimensions alike it is nearly half of them, and the work grows as the square of a label's size.
 
 Equal vectors are one point with a number of copies, so a very common vector is one
-point. A pair in several shards counts in the first only, so counts
-add up and no list of pairs leaves a task; a shard passes on counts and a star
-of links for each of its components.
+point. A pair meets in one shard, so counts add up and no list of pairs leaves a task; a
+shard passes on counts and a star of links for each of its components.
 """
 
 from __future__ import annotations
@@ -24,150 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import as_list, renamed, table, written
+from evidentia.llm.common import as_list, mix64, renamed, table, written
 from evidentia.llm.components import components
 
 COSINE = 0.93
-#: Vectors in a shard before overlap, shards of a vector, clusters of all labels and vectors to fit them on at most.
-SHARD, OVERLAP, CLUSTERS, SAMPLE = 1500, 2, 4096, 40_000
-#: Neighbours of a vector, slack of pruning, beam, vectors expanded at a time, queries at a time.
-DEGREE, SLACK, BEAM, WIDTH, BATCH, MEDOIDS = 32, 1.0, 96, 6, 512, 32
-#: Times every point is inserted, and the share of a shard inserted at a time.
-PASSES, STEP = 2, 20
-
-
-class Graph:
-    """A flat graph over unit vectors."""
-
-    def __init__(self, x: np.ndarray, adjacency: np.ndarray | None = None):
-        self.x, self.n = x, len(x)
-        # where searches start: the points nearest to the centres of MEDOIDS clusters
-        self.medoids = np.unique(np.argmax(x @ centroids(x, min(MEDOIDS, self.n)).T, axis=0))
-        self.near = np.full((self.n, DEGREE), -1, np.int64) if adjacency is None else adjacency
-
-    def search(self, q: np.ndarray, beam: int, least: float = np.inf) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """(beam's points, all points seen, (query, point) with a cosine of `least` or more
-        among those seen) of each query, from the medoids."""
-        ids = np.full((len(q), beam), -1, np.int64)
-        sims = np.full((len(q), beam), -np.inf)
-        done = np.zeros((len(q), beam), bool)
-        seen = np.zeros((len(q), self.n + 1), bool)
-        seen[:, -1] = True  # the place of absent neighbours
-        k = len(self.medoids)
-        ids[:, :k], sims[:, :k] = self.medoids, q @ self.x[self.medoids].T
-        seen[:, self.medoids] = True
-        active = np.arange(len(q))
-        near, place = np.nonzero(sims[:, :k] >= least)
-        hits = [(near, self.medoids[place])]
-        while len(active):
-            open_ = np.where(done[active] | (ids[active] < 0), -np.inf, sims[active])
-            pick = np.argsort(-open_, axis=1)[:, :WIDTH]
-            some = np.take_along_axis(open_, pick, 1) > -np.inf
-            going = some.any(axis=1)
-            active, pick, some = active[going], pick[going], some[going]
-            if not len(active):
-                break
-            at = active[:, None]
-            points = np.where(some, ids[at, pick], -1)
-            done[np.repeat(active, some.sum(axis=1)), pick[some]] = True
-            new = np.where(points[:, :, None] >= 0, self.near[points], -1).reshape(len(active), -1)
-            new.sort(axis=1)
-            new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
-            new[seen[at, new]] = -1
-            seen[at, new] = True
-            found = np.where(new >= 0, np.einsum("qd,qnd->qn", q[active], self.x[new]), -np.inf)
-            near, place = np.nonzero(found >= least)
-            hits.append((active[near], new[near, place]))
-            all_ids = np.concatenate([ids[active], new], axis=1)
-            all_sims = np.concatenate([sims[active], found], axis=1)
-            all_done = np.concatenate([done[active], np.zeros(new.shape, bool)], axis=1)
-            best = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
-            ids[active], sims[active], done[active] = (np.take_along_axis(a, best, 1) for a in (all_ids, all_sims, all_done))
-        return ids, seen, hits
-
-    def prune(self, points: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-        """Of each point's candidates, the nearest in turn, less those that one kept before is
-        nearer to than the point by more than the slack."""
-        ids = np.sort(np.where(candidates == points[:, None], -1, candidates), axis=1)
-        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
-        far = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("pd,pnd->pn", self.x[points], self.x[ids])))
-        far[ids < 0] = np.inf
-        out = np.full((len(points), DEGREE), -1, np.int64)
-        rows, whole = np.arange(len(points)), far.copy()
-        for k in range(DEGREE):
-            pick = np.argmin(far, axis=1)
-            some = far[rows, pick] < np.inf
-            if not some.any():
-                break
-            kept = np.where(some, ids[rows, pick], -1)
-            out[:, k] = kept
-            between = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("pd,pnd->pn", self.x[kept], self.x[ids])))
-            far[(SLACK * between <= far) & some[:, None]] = np.inf
-            far[rows, pick] = np.inf
-            whole[rows[some], pick[some]] = np.inf
-        # room that is left goes to the nearest of the others
-        rest = np.argsort(whole, axis=1, kind="stable")[:, :DEGREE]
-        others = np.where(np.take_along_axis(whole, rest, 1) < np.inf, np.take_along_axis(ids, rest, 1), -1)
-        kept = (out >= 0).sum(axis=1)
-        for k in range(min(DEGREE, others.shape[1])):
-            free = np.flatnonzero((kept + k < DEGREE) & (others[:, k] >= 0))
-            out[free, kept[free] + k] = others[free, k]
-        return out
-
-    def build(self) -> Graph:
-        rest = np.setdiff1d(np.arange(self.n), self.medoids)
-        order = np.concatenate((self.medoids, np.random.default_rng(self.n).permutation(rest)))
-        size = max(16, min(BATCH, self.n // STEP))
-        self.near[self.medoids] = self.prune(self.medoids, np.broadcast_to(self.medoids, (len(self.medoids),) * 2))
-        todo = np.concatenate([order[len(self.medoids) :], *[order] * (PASSES - 1)])
-        at = 0
-        while at < len(todo):
-            batch = todo[at : at + size]
-            ids, _, _ = self.search(self.x[batch], BEAM)
-            self.near[batch] = self.prune(batch, np.concatenate([ids, self.near[batch]], axis=1))
-            # links back; a point with more than its share is pruned again
-            to, back = self.near[batch].ravel(), np.repeat(batch, DEGREE)
-            to, back = to[to >= 0], back[to >= 0]
-            by = np.argsort(to, kind="stable")
-            to, back = to[by], back[by]
-            points, first, n = np.unique(to, return_index=True, return_counts=True)
-            for i in range(0, len(points), BATCH):
-                p, f, m = points[i : i + BATCH], first[i : i + BATCH], n[i : i + BATCH]
-                more = np.full((len(p), int(m.max())), -1, np.int64)
-                more[np.repeat(np.arange(len(p)), m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)] = back[np.repeat(f, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
-                both = np.concatenate([self.near[p], more], axis=1)
-                few = (both >= 0).sum(axis=1) <= DEGREE
-                left = np.sort(both[few], axis=1)[:, ::-1][:, :DEGREE]
-                self.near[p[few]] = left
-                if (~few).any():
-                    self.near[p[~few]] = self.prune(p[~few], both[~few])
-            at += len(batch)
-        return self
-
-    def in_range(self, queries: np.ndarray, least: float) -> np.ndarray:
-        """(query, point) pairs with a cosine of `least` or more that the search finds."""
-        out = []
-        for i in range(0, len(queries), BATCH):
-            batch = queries[i : i + BATCH]
-            q = self.x[batch]
-            _, seen, hits = self.search(q, BEAM, least)
-            own = np.arange(len(batch))  # a query is a point of the graph, and in its own range
-            fresh = ~seen[own, batch]
-            seen[own, batch] = True
-            hits.append((own[fresh], batch[fresh]))
-            row, point = (np.concatenate(x) for x in zip(*hits, strict=True))
-            while len(row):
-                out.append(np.stack([batch[row], point], axis=1))
-                to = self.near[point]
-                row, to = np.repeat(row, to.shape[1]), to.ravel()
-                keep = ~seen[row, to]
-                row, to = row[keep], to[keep]
-                key = np.unique(row * (self.n + 1) + to)
-                row, point = key // (self.n + 1), key % (self.n + 1)
-                seen[row, point] = True
-                near = np.concatenate([np.einsum("pd,pd->p", q[row[j : j + 65536]], self.x[point[j : j + 65536]]) for j in range(0, len(row), 65536)] or [np.zeros(0)]) >= least
-                row, point = row[near], point[near]
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+#: Vectors at home in a shard, clusters of all labels and vectors to fit them on at most.
+SHARD, CLUSTERS, SAMPLE = 1500, 4096, 40_000
+#: Clusters of a label for each part that the guests of a shard come in.
+GUESTS = 16
+#: Queries compared at a time.
+BATCH = 512
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -217,73 +84,93 @@ def _fit(points: DataFrame, shard: int) -> dict[tuple, np.ndarray]:
     return out
 
 
-POINTS = "label string, dim int, shard int, node long, copies long, embedding array<double>, shards array<int>"
+POINTS = "label string, dim int, shard int, part int, guest boolean, node long, copies long, embedding array<double>"
 
 
-def _deal(points: DataFrame, fitted: dict[tuple, np.ndarray], overlap: int) -> DataFrame:
+def reached(x: np.ndarray, c: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home, whether a unit vector with `cosine` or more to it can be at home in each cluster) of unit vectors.
+
+    Home is the nearest centroid, a. A partner y at home in c has (c - a) y >= 0, and lies
+    at most the angle of `cosine` from x, so x is at most its sine below that border.
+    """
+    sims = x @ c.T
+    home = np.argmax(sims, axis=1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+    sine = np.sqrt(1 - cosine * cosine) if 0 < cosine < 1 else float(cosine <= 0)
+    return home, sims - sims[np.arange(len(x)), home][:, None] >= -sine * apart[home] - 1e-6
+
+
+def _deal(points: DataFrame, fitted: dict[tuple, np.ndarray], cosine: float) -> DataFrame:
+    """Every vector in its home shard, and as a guest where a partner can be at home.
+
+    One of two clusters sends its guests to the other, chosen so that each sends to half.
+    The guests of a shard come in parts, each with all that are at home there.
+    """
     held = points.sparkSession.sparkContext.broadcast(fitted)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pandas()
             for (label, dim), own in rows.groupby(["label", "dim"]):
-                x = np.stack(own["embedding"].to_numpy()).astype(np.float64)
+                raw, nodes, copies = np.stack(own["embedding"].to_numpy()).astype(np.float64), own["node"].to_numpy(np.int64), own["copies"].to_numpy(np.int64)
                 c = held.value.get((label, dim))
-                mine = np.zeros((len(own), 1), np.int64) if c is None else np.sort(np.argsort(-(unit(x) @ c.T), axis=1, kind="stable")[:, :overlap], axis=1)
-                for k in range(mine.shape[1]):
-                    n = len(own)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([label] * n, pa.string()), pa.array(np.full(n, dim, np.int32)), pa.array(mine[:, k].astype(np.int32)), pa.array(own["node"].to_numpy(np.int64)), pa.array(own["copies"].to_numpy(np.int64)),
-                            as_list(x.ravel(), np.full(n, dim), pa.float64()), as_list(mine.astype(np.int32).ravel(), np.full(n, mine.shape[1]), pa.int32()),
-                        ],
-                        names=[c.split()[0] for c in POINTS.split(", ")],
+                c = np.zeros((1, dim)) if c is None else c
+                k = len(c)
+                parts, step = -(-k // GUESTS), max(1, (1 << 20) // k)
+                for i in range(0, len(raw), step):
+                    home, reach = reached(unit(raw[i : i + step]), c, cosine)
+                    other = np.arange(k)[None, :]
+                    sends = (home[:, None] < other) != ((home[:, None] + other) % 2 == 1)
+                    row, shard = np.nonzero(reach & sends & (home[:, None] != other))
+                    at = np.arange(len(home))
+                    row, shard, part, guest = (
+                        np.concatenate([np.repeat(at, parts), row]), np.concatenate([np.repeat(home, parts), shard]),
+                        np.concatenate([np.tile(np.arange(parts), len(at)), mix64(nodes[i + row].view(np.uint64)) % np.uint64(parts)]).astype(np.int32), np.repeat([False, True], [len(at) * parts, len(row)]),
                     )
+                    for j in range(0, len(row), 8192):
+                        r = i + row[j : j + 8192]
+                        n = len(r)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([label] * n, pa.string()), pa.array(np.full(n, dim, np.int32)), pa.array(shard[j : j + n].astype(np.int32)), pa.array(part[j : j + n]), pa.array(guest[j : j + n]),
+                                pa.array(nodes[r]), pa.array(copies[r]), as_list(raw[r].ravel(), np.full(n, dim), pa.float64()),
+                            ],
+                            names=[c.split()[0] for c in POINTS.split(", ")],
+                        )
 
     return points.select("label", "dim", "node", "copies", "embedding").mapInArrow(deal, POINTS)
 
 
-def _neighbours(rows: pa.Table) -> pa.Table:
-    node = rows["node"].to_numpy()
-    order = np.argsort(node)
-    graph = Graph(unit(matrix(rows["embedding"].take(pa.array(order))))).build()
-    near = graph.near
-    return pa.table({"node": pa.array(node[order]), "near": as_list(node[order][near[near >= 0]], (near >= 0).sum(axis=1), pa.int64())})
+FOUND = "node long, n_links long, root long"
 
 
-FOUND = "node long, n_links long, root long"
+def _scan(queries: np.ndarray, homes: np.ndarray, least: float) -> np.ndarray:
+    """(query, home) pairs with a cosine of `least` or more: all of them."""
+    out = [np.zeros((0, 2), np.int64)]
+    for i in range(0, len(queries), BATCH):
+        for j in range(0, len(homes), 4096):
+            out.append(np.argwhere(queries[i : i + BATCH] @ homes[j : j + 4096].T >= least) + [i, j])
+    return np.concatenate(out)
 
 
 def _links(least: float):
     def find(rows: pa.Table) -> pa.Table:
-        node = rows["node"].to_numpy()
-        order = np.argsort(node)
-        rows, node = rows.take(pa.array(order)), node[order]
-        raw, copies, n = matrix(rows["embedding"]), rows["copies"].to_numpy(), len(node)
-        lists = rows["near"].combine_chunks()
-        size, flat = np.diff(np.asarray(lists.offsets)), np.asarray(lists.flatten())
-        at = np.minimum(np.searchsorted(node, flat), n - 1)
-        here = node[at] == flat  # neighbours that other shards gave, if they are in this one
-        owner = np.repeat(np.arange(n), size)[here]
-        count = np.bincount(owner, minlength=n)
-        near = np.full((n, max(1, int(count.max(initial=0)))), -1, np.int64)
-        near[owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)] = at[here]
-        x = unit(raw)
-        pairs = Graph(x, near).in_range(np.arange(n), least - 1e-9)
+        order = np.lexsort((rows["node"].to_numpy(), rows["guest"].to_numpy()))
+        rows = rows.take(pa.array(order))
+        node, raw, copies, n = rows["node"].to_numpy(), matrix(rows["embedding"]), rows["copies"].to_numpy(), len(rows)
+        x, homes = unit(raw), int(n - np.count_nonzero(rows["guest"].to_numpy()))
+        first = 0 if rows["part"][0].as_py() == 0 else homes  # those at home meet each other in one part only
+        pairs = _scan(x[first:], x[:homes], least - 1e-9) + [first, 0]
         lo, hi = pairs.min(axis=1), pairs.max(axis=1)
         key = np.unique((lo * n + hi)[lo != hi])
         lo, hi = key // n, key % n
-        # a pair counts in the first shard that both are in
-        shards, shard = matrix(rows["shards"]).astype(np.int64), rows["shard"][0].as_py()
         keep = np.zeros(len(lo), bool)
         for i in range(0, len(lo), 1 << 18):
             a, b = lo[i : i + (1 << 18)], hi[i : i + (1 << 18)]
-            common = (shards[a][:, :, None] == shards[b][:, None, :]).any(axis=2)
-            first = np.where(common, shards[a], np.iinfo(np.int64).max).min(axis=1)
             scale_a, scale_b = np.abs(raw[a]).max(axis=1), np.abs(raw[b]).max(axis=1)
             u, v = raw[a] / scale_a[:, None], raw[b] / scale_b[:, None]
             cosine = (u * v).sum(axis=1) / (np.sqrt((u * u).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
-            keep[i : i + (1 << 18)] = (first == shard) & (cosine >= least)
+            keep[i : i + (1 << 18)] = cosine >= least
         lo, hi = lo[keep], hi[keep]
         links = (np.bincount(lo, copies[hi], n) + np.bincount(hi, copies[lo], n)).astype(np.int64)
         root = np.arange(n)
@@ -301,14 +188,13 @@ def _links(least: float):
     return find
 
 
-def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row.
 
     Rows link when labels are equal and not null and the cosine is `cosine` or more. A
     vector that is null, zero or holds null or non-finite components, or has no label,
     links with nothing; so do vectors of different lengths. Equal vectors link with
-    each other. The search is approximate: links found are exact, some may be missed;
-    audit_recall() says how many. Other columns are ignored. A null vec_id takes
+    each other. All links are found; audit_recall() checks it. Other columns are ignored. A null vec_id takes
     part, but can't be a component's id unless it is alone.
     """
     rows = renamed(vectors, vec_id="vec_id", label="label", embedding="embedding").selectExpr("cast(vec_id as long) vec_id", "cast(label as string) label", "cast(embedding as array<double>) embedding")
@@ -318,11 +204,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, shard: in
     )
     points = written(points, "points")
     linkable = points.where("node is not null")
-    dealt = written(_deal(linkable, _fit(linkable, shard), overlap), "shards")
-    by = ("label", "dim", "shard")
-    built = dealt.select(*by, "node", "embedding").groupBy(*by).applyInArrow(_neighbours, "node long, near array<long>")
-    united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    found = written(dealt.join(united, "node").groupBy(*by).applyInArrow(_links(cosine), FOUND), "vector-links")
+    dealt = _deal(linkable, _fit(linkable, shard), cosine)
+    found = written(dealt.groupBy("label", "dim", "shard", "part").applyInArrow(_links(cosine), FOUND), "vector-links")
     counts = found.groupBy("node").agg(F.sum("n_links").alias("other"))
     classes = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     answers = (

@@ -54,6 +54,24 @@ def test_links_equal_brute_force(spark, shard, least):
         assert got == want
 
 
+@pytest.mark.parametrize(("dim", "shard"), [(4, 300), (4, 75), (4, 19), (64, 75), (64, 19)])
+def test_no_border_loses_links(spark, dim, shard):
+    """4 to 64 clusters, of vectors that fill all dimensions alike and have pairs of cosine 0.93 to 0.99."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 600, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    cos = rng.uniform(0.93, 0.99, 600)[:, None]
+    x = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * b])
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in eg.near_duplicate_vectors(df, shard=shard).collect()}
+    recall = sum(got.values()) / want.sum()
+    print(f"dim {dim} shard {shard}: recall {recall:.4f}")
+    assert recall >= 0.999 and all(got[i] <= want[i] for i in got)
+
+
 def test_recall_on_the_table(spark, sf):
     df = table(spark, sf, "embeddings")
     out = eg.op8_embedding_graph(spark, sf)
