@@ -7,13 +7,16 @@ wildcards too, or begins a new one. A template that recurs in MIN_DOCS documents
 boilerplate: its first line (least doc_id, then line) stays, all others go.
 
 Most leaves hold one line, so hashes alone are counted first, and the text of lines
-moves only where a leaf holds several. A leaf with more than LEAF_LINES different
-lines is parsed in parts; templates of the same tokens are then one.
+moves only where a leaf holds several. A leaf is parsed whole, whatever its size: blocks
+of tokens lead to the few templates that can be alike, so not all are compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +29,8 @@ WILDCARD = "<*>"
 DEPTH, MIN_TOKENS = 4, 4
 #: Share of equal tokens for a line to join a template; documents for a template to recur.
 ALIKE, MIN_DOCS = 0.7, 3
-LEAF_LINES = 2000
+#: Templates of a leaf from which on they are found by blocks of tokens; rows given out at a time.
+INDEXED, ROWS = 16, 10_000
 
 
 def masked(line: Column) -> Column:
@@ -50,51 +54,81 @@ def leaf_hash() -> Column:
 
 
 class Leaf:
-    """The templates of one leaf."""
+    """The templates of one leaf, whose lines have the same number of tokens and the same DEPTH first.
+
+    A line that differs from a template in m tokens at most equals it in one of m + 1
+    blocks of tokens at least, so only templates that share a block are compared.
+    """
 
     def __init__(self, alike: float = ALIKE):
         self.alike, self.templates, self.members = alike, [], []
+        self.blocks: list[slice] = []
+        self.index: dict[tuple, dict[int, None]] = {}
+
+    def _keys(self, tokens: list[str]) -> list[tuple]:
+        return [(i, *tokens[b]) for i, b in enumerate(self.blocks)]
+
+    def _candidates(self, tokens: list[str]) -> list[int] | range:
+        if len(self.templates) < INDEXED:
+            return range(len(self.templates))
+        if not self.blocks:
+            n = len(tokens)
+            count = n - math.ceil(self.alike * n) + 1
+            first = DEPTH if n - DEPTH >= count else 0
+            ends = [first + (n - first) * i // count for i in range(count + 1)] if n >= count > 0 else [0, 0]
+            self.blocks = [slice(a, b) for a, b in zip(ends, ends[1:], strict=False)]
+            for k, t in enumerate(self.templates):
+                for key in self._keys(t):
+                    self.index.setdefault(key, {})[k] = None
+        return sorted({k for key in self._keys(tokens) for k in self.index.get(key, ())})
 
     def add(self, key: int, tokens: list[str]) -> None:
         best, most = -1, -1
-        for k, t in enumerate(self.templates):
-            same = sum(x == y for x, y in zip(t, tokens, strict=True))
+        for k in self._candidates(tokens):
+            same = sum(map(eq, self.templates[k], tokens))
             if same > most:
                 best, most = k, same
         if best < 0 or most < self.alike * len(tokens):
+            best = len(self.templates)
             self.templates.append(list(tokens))
-            self.members.append([key])
-            return
-        t = self.templates[best]
-        for i, x in enumerate(tokens):
-            if t[i] != x:
-                t[i] = WILDCARD
+            self.members.append([])
+            for block in self._keys(tokens):
+                self.index.setdefault(block, {})[best] = None
+        elif most < len(tokens):
+            t = self.templates[best]
+            before = self._keys(t)
+            t[:] = [x if x == y else WILDCARD for x, y in zip(t, tokens, strict=True)]
+            for old, new in zip(before, self._keys(t), strict=True):
+                if old != new:
+                    del self.index[old][best]
+                    self.index.setdefault(new, {})[best] = None
         self.members[best].append(key)
 
-    def rows(self) -> list[tuple[int, str]]:
-        return [(key, " ".join(t)) for t, keys in zip(self.templates, self.members, strict=True) for key in keys]
+    def rows(self) -> Iterator[tuple[int, str]]:
+        for t, keys in zip(self.templates, self.members, strict=True):
+            name = " ".join(t)
+            yield from ((key, name) for key in keys)
 
 
 def templates(lines: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """(line_hash, template) for different lines (leaf, part, line_hash, line), each leaf and part by itself, in order of the line."""
+    """(line_hash, template) for different lines (leaf, line_hash, line), each leaf by itself, in order of the line."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaf = None, Leaf(alike)
-
-        def out(rows: list[tuple[int, str]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["line_hash", "template"])
+        def named() -> Iterator[tuple[int, str]]:
+            at, leaf = None, Leaf(alike)
+            for batch in batches:
+                for key, line_hash, line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if key != at:
+                        yield from leaf.rows()
+                        at, leaf = key, Leaf(alike)
+                    leaf.add(line_hash, line.split(" "))
+            yield from leaf.rows()
 
-        for batch in batches:
-            rows: list[tuple[int, str]] = []
-            for key, part, line_hash, line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (key, part) != at:
-                    rows += leaf.rows()
-                    at, leaf = (key, part), Leaf(alike)
-                leaf.add(line_hash, line.split(" "))
-            yield out(rows)
-        yield out(leaf.rows())
+        rows = named()
+        while some := list(islice(rows, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.string())], names=["line_hash", "template"])
 
-    return lines.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line").select("leaf", "part", "line_hash", "line").mapInArrow(parse, "line_hash long, template string")
+    return lines.repartition("leaf").sortWithinPartitions("leaf", "line").select("leaf", "line_hash", "line").mapInArrow(parse, "line_hash long, template string")
 
 
 def dedup_lines(docs: DataFrame, alike: float = ALIKE, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -110,16 +144,16 @@ def dedup_lines(docs: DataFrame, alike: float = ALIKE, min_docs: int = MIN_DOCS)
     # different lines, and leaves with several
     different = lines.select("leaf", "line_hash").distinct()
     leaves = different.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
-    several = written(different.join(leaves, "leaf").select("line_hash", "leaf", F.pmod("line_hash", F.ceil(F.col("n") / LEAF_LINES)).alias("part")), "several")
+    several = written(different.join(leaves, "leaf").select("line_hash", "leaf"), "several")
     # the text of such a line is read from one document that has it
-    holder = lines.join(several, ["leaf", "line_hash"]).groupBy("leaf", "part", "line_hash").agg(F.min(F.struct("doc_id", "text_key", "line_no")).alias("at"))
-    holder = holder.select("leaf", "part", "line_hash", F.col("at.doc_id").alias("d"), F.col("at.text_key").alias("k"), F.col("at.line_no").alias("i"))
-    wanted = holder.groupBy("d", "k").agg(F.collect_list(F.struct("i", "leaf", "part", "line_hash")).alias("wanted"))
+    holder = lines.join(several, ["leaf", "line_hash"]).groupBy("leaf", "line_hash").agg(F.min(F.struct("doc_id", "text_key", "line_no")).alias("at"))
+    holder = holder.select("leaf", "line_hash", F.col("at.doc_id").alias("d"), F.col("at.text_key").alias("k"), F.col("at.line_no").alias("i"))
+    wanted = holder.groupBy("d", "k").agg(F.collect_list(F.struct("i", "leaf", "line_hash")).alias("wanted"))
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
     read = (
         keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
         .select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
-        .select("w.leaf", "w.part", "w.line_hash", F.array_join(masked(F.element_at("all", F.col("w.i") + 1)), " ").alias("line")).distinct()
+        .select("w.leaf", "w.line_hash", F.array_join(masked(F.element_at("all", F.col("w.i") + 1)), " ").alias("line")).distinct()
     )
     named = written(templates(read, alike).select("line_hash", F.xxhash64("template").alias("named")), "templates")
     placed = lines.join(named, "line_hash", "left").select("doc_id", "text_key", "line_no", F.coalesce("named", "line_hash").alias("template"))

@@ -174,6 +174,43 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def plain_leaf(lines, alike=0.7):
+    """line -> template, each line compared with every template."""
+    found = []
+    for line in lines:
+        t = line.split(" ")
+        same = [sum(x == y for x, y in zip(f[0], t, strict=True)) for f in found]
+        if not same or max(same) < alike * len(t):
+            found.append((t, [line]))
+            continue
+        f = found[same.index(max(same))]
+        f[0][:] = [x if x == y else line_dedup.WILDCARD for x, y in zip(f[0], t, strict=True)]
+        f[1].append(line)
+    return {line: " ".join(t) for t, lines in found for line in lines}
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 9, 14])
+def test_large_leaf_equals_plain_comparison(n):
+    import random
+
+    rng = random.Random(n)
+    lines = sorted({" ".join(["a", "b", "c", "d", *rng.choices("efghijkl<", k=n - 4)]).replace("<", line_dedup.WILDCARD) for _ in range(600)})
+    for alike in (0.0, 0.5, 0.7, 0.9, 1.0):
+        leaf = line_dedup.Leaf(alike)
+        for i, line in enumerate(lines):
+            leaf.add(i, line.split(" "))
+        assert {lines[i]: t for i, t in leaf.rows()} == plain_leaf(lines, alike)
+
+
+def test_variants_in_a_large_leaf_are_one_template(spark):
+    """4,500 different lines with the same four first tokens and count, among them three variants of each of 1,500 templates."""
+    word = lambda i, k: "".join(chr(97 + (i * 7919 + k * 104729) // 26**j % 26) for j in range(5))
+    rows = [(d, "\n".join(" ".join(["see", "also", "the", "page", *[word(i, k) for k in range(5)], "xyz"[d]]) for i in range(1500))) for d in range(3)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect())
+    assert got == sorted(brute_lines(rows)) and [g[3] for g in got] == [0, 1500, 1500]
+
+
 def test_repeated_rows_lose_the_same_lines(spark):
     rows = [(1, "this line is common here"), (1, "this line is common here"), (2, "this line is common here"), (2, "this line is common here"), (3, "this line is common here"), (None, "this line is common here")]
     got = sorted((r.doc_id or 0, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
