@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset (tests, a local session) a temporary folder is set.
+    Where it is unset a temporary folder is made, in a local session (tests) alone:
+    on a cluster no machine's own folder would do.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
@@ -31,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="llm-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -41,22 +44,37 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as a table in the shared folder and read back: cuts lineage
-    and survives lost executors."""
+    and survives lost executors. The shuffle files behind it go once it's written."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files behind a table that written() made."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+def drop_tables(*tables: DataFrame) -> None:
+    """Removes the files behind tables that written() made and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
+def own_name(*names: str) -> list[str]:
+    """Column names that no caller's table has."""
+    end = uuid.uuid4().hex[:12]
+    return [f"{n}_{end}" for n in names]
 
 
 def bucket_of(value: Column, n: int | Column) -> Column:
