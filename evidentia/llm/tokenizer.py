@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: A worker keeps the ids of at most so many distinct words, then starts afresh.
-MEMO_WORDS = 1_200_000
-#: Lower-case Latin letters that Unicode's normal form C leaves as they are, with one
-#: mark at most after them.
-LATIN = re.compile("([a-z\xdf-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017f]+)([.,;:!?]?)")
+#: A worker keeps the ids of words up to about so many bytes, then starts afresh; longer
+#: words than MEMO_CHARS aren't kept.
+MEMO_BYTES, MEMO_CHARS = 64 << 20, 64
+#: What a kept word takes beside its characters and ids.
+ENTRY_BYTES = 170
+#: Lower-case Latin letters that Unicode's normal form C leaves as they are.
+LATIN = "[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]"
+#: One of these may follow them in a word.
+MARKS = ".,;:!?"
 #: So many words of Latin letters are encoded as one text.
 TOGETHER = 512
 #: Ends the last piece of each pre-token in the vocabulary.
@@ -32,10 +35,10 @@ class Encoder:
     The tokenizer drops white space and never merges across it, so the ids of a
     text are those of its words in turn; a word met before isn't encoded again.
     A word of Latin letters and one punctuation mark is encoded as the lower-cased
-    letters and the mark, as the tokenizer's own pattern cuts it. New words of Latin
-    letters alone are encoded many at a time: each is one pre-token, whose last piece
-    the vocabulary marks, so the ids are cut there. If the cuts aren't as many as the
-    words (another vocabulary), they are encoded one by one.
+    letters and the mark, as the tokenizer's own pattern cuts it, so only the letters are
+    kept. New words of Latin letters are encoded many at a time: each is one pre-token,
+    whose last piece the vocabulary marks, so the ids are cut there. If the cuts aren't as
+    many as the words (another vocabulary), they are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -48,7 +51,7 @@ class Encoder:
         self.ends = np.zeros(max(pieces.values()) + 1, bool)
         self.ends[[i for p, i in pieces.items() if p.endswith(WORD_END) and p != WORD_END]] = True
         self.memo: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.held = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [
@@ -69,38 +72,46 @@ class Encoder:
                 found += self._encode(some)
         return found
 
-    def _known(self, met: list[str]) -> list[bytes]:
+    def _known(self, words: pa.Array) -> list[bytes]:
         """The ids of distinct words."""
-        missing = [w for w in met if w not in self.memo]
+        low = pc.utf8_lower(words)
+        # the library lower-cases U+0130 to two characters
+        latin = pc.and_not(pc.match_substring_regex(low, f"^{LATIN}+[{MARKS}]?$"), pc.match_substring(words, "\u0130"))
+        stem = pc.if_else(latin, pc.utf8_rtrim(low, MARKS), words)
+        mark = pc.if_else(pc.and_(latin, pc.less(pc.binary_length(stem), pc.binary_length(low))), pc.utf8_slice_codeunits(low, -1), "")
+        keys = stem.dictionary_encode()
+        names = keys.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.memo.get, names))
+        missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
-            if len(self.memo) + len(missing) > MEMO_WORDS:
-                self.memo, self.cores, missing = {}, {}, met
-            cores, memo = self.cores, self.memo
-            heads, tails, words, latin, other = [], [], [], {}, []
-            for w in missing:
-                m = LATIN.fullmatch(w.lower())
-                if m is None:
-                    other.append(w)
-                    continue
-                core, mark = m.groups()
-                words.append(w)
-                heads.append(core)
-                tails.append(mark)
-                if core not in cores:
-                    latin[core] = None
-            memo.update(zip(other, self._encode(other), strict=True))
-            cores.update(zip(latin, self._encode_latin(list(latin)), strict=True))
-            marks = {m: self._encode([m])[0] if m else b"" for m in set(tails)}
-            for w, core, mark in zip(words, heads, tails, strict=True):
-                memo[w] = cores[core] + marks[mark]
-        return [self.memo[w] for w in met]
+            alike = pc.match_substring_regex(keys.dictionary, f"^{LATIN}+$").to_numpy(zero_copy_only=False).tolist()
+            for some, encode in (([i for i in missing if alike[i]], self._encode_latin), ([i for i in missing if not alike[i]], self._encode)):
+                for i, ids in zip(some, encode([names[i] for i in some]), strict=True):
+                    found[i] = ids
+            self._keep([(names[i], found[i]) for i in missing])
+        pieces, marks = list(map(found.__getitem__, keys.indices.to_numpy().tolist())), mark.dictionary_encode()
+        for m, name in enumerate(marks.dictionary.to_pylist()):
+            if name:
+                (ids,) = self._encode([name])
+                for i in np.flatnonzero(marks.indices.to_numpy() == m).tolist():
+                    pieces[i] += ids
+        return pieces
+
+    def _keep(self, pairs: list[tuple[str, bytes]]) -> None:
+        for word, ids in pairs:
+            if len(word) <= MEMO_CHARS:
+                self.memo[word] = ids
+                self.held += len(word) + len(ids) + ENTRY_BYTES
+                if self.held > MEMO_BYTES:
+                    self.memo.clear()
+                    self.held = 0
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text: cut at ASCII white space, its words numbered, and the
         ids of distinct words laid out by those numbers."""
         cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         words = cut.flatten().dictionary_encode()
-        pieces = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        pieces = self._known(words.dictionary)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         code = words.indices.to_numpy()
         ends = np.zeros(len(code) + 1, np.int64)
