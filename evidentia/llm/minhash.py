@@ -120,15 +120,15 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h
 
 
-SIGNED = "doc_id long, k1 long, k2 long, n_words long, bands array<long>, sketch binary"
+SIGNED = "doc_id long, text_key long, k1 long, k2 long, n_words long, bands array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
-    """A key of the text's words (k1, k2) and its band hashes, of each document."""
+    """A hash of the text, a key of its words (k1, k2) and its band hashes, of each document."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, offsets in text_blocks(batch.column(1)):
+            for i, j, raw, offsets in text_blocks(batch.column(2)):
                 h, first, _, _ = hash_words(raw, offsets)
                 n = np.diff(first)
                 k1, k2 = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
@@ -145,11 +145,11 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
                     for d, own in zip(some, signed.astype(np.uint8), strict=True):
                         sketch[d] = own.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(k1), pa.array(k2), pa.array(n, pa.int64()), as_list(found, bands * (n > 0), pa.int64()), pa.array(sketch, pa.binary())],
-                    names=["doc_id", "k1", "k2", "n_words", "bands", "sketch"],
+                    [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(k1), pa.array(k2), pa.array(n, pa.int64()), as_list(found, bands * (n > 0), pa.int64()), pa.array(sketch, pa.binary())],
+                    names=["doc_id", "text_key", "k1", "k2", "n_words", "bands", "sketch"],
                 )
 
-    return renamed(docs, doc_id="doc_id", text="text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(sign, SIGNED)
+    return renamed(docs, doc_id="doc_id", text="text").selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_key", "text").mapInArrow(sign, SIGNED)
 
 
 SETS = "node long, shingles array<long>, weights array<double>"
@@ -270,7 +270,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
     return pairs.join(b, "v").join(a, "u").select("u", "v", "x", "y").mapInArrow(keep, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "set", keyed: bool = False) -> DataFrame:
     """doc_id, class_id, n_words and kept of each row; class_id is the least doc_id of its class.
 
     Documents are linked when their shingles of `words` words have a Jaccard
@@ -278,7 +278,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     the same words are one class. A text of fewer words is one shingle of all of them. A null or
     wordless text links with nothing and is a class of its own. kept marks the rows
     that hold the least doc_id of their class; rows with equal doc_id count as one
-    document. A null doc_id links nothing and stays unless a copy has an id.
+    document. A null doc_id links nothing and stays unless a copy has an id. A text of any
+    length is taken whole, an empty table gives no rows, and other columns are ignored.
+    keyed adds text_key, the xxhash64 of the text, by which rows are told apart.
     """
     signed = written(signatures(docs, words, bands, rows, weights), "signatures")
     copies = signed.where("n_words > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -338,7 +340,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         keys = keys.withColumnRenamed("node", "class")
     return (
         signed.join(keys, (signed.k1 == keys.k1) & (signed.k2 == keys.k2) & (signed.n_words > 0), "left")
-        .select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), "n_words")
+        .select("doc_id", *["text_key"] * keyed, F.coalesce("class", "doc_id").alias("class_id"), "n_words")
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
     )
 
