@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import renamed, table
+from evidentia.llm.common import own_name, table
 
 #: N-grams in a profile, of a language and of a document.
 PROFILE = 400
@@ -164,11 +164,13 @@ def _by(*keys: str):
     return Window.partitionBy(*keys).orderBy(F.desc("n"), "gram")
 
 
-def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1) after its own columns.
+def predict(docs: DataFrame, profiles: Profiles, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score (0 to 1), or other names, after its own columns.
 
     A text that is null or has no letter is `und` with a score of 0; so is any text
-    where no language was learned. Of equally near languages the first by name wins.
+    where no language was learned. Of equally near languages the first by name wins. A
+    text of any length counts whole; an empty table gives no rows; columns of docs that
+    have one of the two names are replaced, all others stay.
     """
     held = docs.sparkSession.sparkContext.broadcast(profiles)
 
@@ -176,11 +178,11 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         profiles = held.value
         for texts in batches:
-            yield pd.DataFrame([profiles.nearest(t) for t in texts], columns=["lang", "score"])
+            yield pd.DataFrame([profiles.nearest(t or "") for t in texts], columns=["lang", "score"])
 
-    known = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
-    found = docs.withColumn("_found", nearest(F.when(known, F.col(f"`{text}`")).otherwise(F.lit(""))))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
+    (found,) = own_name("found")
+    judged = docs.withColumn(found, nearest(F.col(f"`{text}`")))
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], F.col(found)["lang"].alias(names[0]), F.col(found)["score"].alias(names[1]))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
