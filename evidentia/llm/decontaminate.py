@@ -27,6 +27,8 @@ WINDOW = 10
 K = 5
 GUARD = WINDOW - K + 1
 BLOCK_BYTES = 8 << 20
+#: Places of documents and items with equal hashes compared at a time.
+PAIRS = 1 << 20
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -112,13 +114,19 @@ class Index:
         bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = True
         return bits
 
-    def _pairs(self, at: np.ndarray, h: np.ndarray, hashes: np.ndarray, places: np.ndarray):
-        """(document word, item word) for every equal hash."""
+    def _pairs(self, at: np.ndarray, h: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(document word, item word) for every equal hash, about PAIRS at a time."""
         lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
         n = hi - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        skip = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), places[np.repeat(lo, n) + skip]
+        ends = np.cumsum(n)
+        i = 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + PAIRS, "right")))
+            m = n[i:j]
+            skip = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            yield np.repeat(at[i:j], m), places[np.repeat(lo[i:j], m) + skip]
+            i = j
 
     def spans(self, words: np.ndarray, first: np.ndarray):
         """(start, end, entry) of runs of words in occurring windows, in a block of texts."""
@@ -129,8 +137,7 @@ class Index:
             grams = gram_hashes(words, ends, K)
             at = winnow(grams)
             at = at[self.bits[(grams[at] & np.uint64(len(self.bits) - 1)).astype(np.int64)]]
-            p, q = self._pairs(at, grams[at], self.hashes, self.places)
-            if len(p):
+            for p, q in self._pairs(at, grams[at], self.hashes, self.places):
                 e = self.entry[q]
                 left, right = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
                 same = np.ones(len(p), bool)
@@ -153,11 +160,11 @@ class Index:
             at = np.flatnonzero(grams != _TOP)
             if len(hashes) < 1024:
                 at = at[np.isin(grams[at], hashes)]
-            p, q = self._pairs(at, grams[at], hashes, places)
-            same = np.ones(len(p), bool)
-            for j in range(size):
-                same &= words[p + j] == self.words[q + j]
-            out.append((p[same], p[same] + size, self.entry[q[same]]))
+            for p, q in self._pairs(at, grams[at], hashes, places):
+                same = np.ones(len(p), bool)
+                for j in range(size):
+                    same &= words[p + j] == self.words[q + j]
+                out.append((p[same], p[same] + size, self.entry[q[same]]))
         if not out:
             z = np.zeros(0, np.int64)
             return z, z, z
@@ -218,12 +225,14 @@ def _merge(spans):
     return F.aggregate(F.array_sort(spans), zero, step, lambda s: s["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, keyed: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans and items, a row for each row.
 
     spans are first and last-but-one word, items the ids. A null or wordless text
     has no words and no hits; items without words occur nowhere. Items that repeat
-    count once for each id; one without id marks words but isn't counted.
+    count once for each id; one without id marks words but isn't counted. A text of any
+    length is taken whole; an empty table of documents gives no rows, one of items no hits;
+    other columns are ignored. keyed adds text_key, the xxhash64 of the text.
     """
     spark = docs.sparkSession
     items = renamed(benchmark, item_id="item_id", text="text").selectExpr("cast(item_id as string) item_id", "text").where("text is not null").distinct()
@@ -243,12 +252,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
             more = part if more is None else more.unionByName(part)
         more = more.distinct().groupBy(F.col("row_id").alias("r"), F.col("text_key").alias("t")).agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
         found = found.join(more, F.col("row_id").eqNullSafe(F.col("r")) & F.col("text_key").eqNullSafe(F.col("t")), "left").select(
-            "row_id", "n_words",
+            "row_id", "text_key", "n_words",
             F.concat("spans", F.coalesce("s", F.array().cast("array<long>"))).alias("spans"),
             F.array_distinct(F.concat("items", F.coalesce("i", F.array().cast("array<string>")))).alias("items"),
         )
     return found.select(
-        F.col("row_id").alias("doc_id"), "n_words", _merge(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.col("row_id").alias("doc_id"), *["text_key"] * keyed, "n_words", _merge(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
         "spans", "items",
     ).withColumn("contaminated", F.col("n_hit") > 0)
