@@ -10,6 +10,7 @@ only the lengths of its pieces are shuffled.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ END_ID = 2
 #: Documents in a group, on average.
 GROUP_DOCS = 1024
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copy int"
 
 
 def cut_documents(
@@ -35,25 +36,29 @@ def cut_documents(
     """Pieces of at most `sequence` token ids of each document with its end id.
 
     A document of more ids is cut at the multiples of `sequence`. A null or empty
-    text is the end id alone. with_ids adds the ids themselves.
+    text is the end id alone; a text of any length is cut whole. copy numbers repeated
+    rows within a task, so that they can be dealt apart. with_ids adds the ids themselves.
     """
     names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, seen = encoder(path), Counter()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows = []
             for i, j in small_batches(texts):
                 for doc, ids in zip(doc_ids[i:j], enc.batch(texts[i:j]), strict=True):
                     ids += end
+                    whole = hash((doc, zlib.crc32(ids), len(ids)))
+                    copy = seen[whole]
+                    seen[whole] += 1
                     for at in range(0, len(ids), 4 * sequence):
                         part = ids[at : at + 4 * sequence]
-                        row = (doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4)
+                        row = (doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, copy)
                         rows.append((*row, np.frombuffer(part, "<i4")) if with_ids else row)
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
+            kinds = [pa.int64()] * 5 + [pa.int32()] + [pa.list_(pa.int32())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return (
@@ -103,15 +108,17 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def pack(pieces: DataFrame, n_docs: int, sequence: int = SEQUENCE, group_docs: int = GROUP_DOCS, seed: int = 17) -> DataFrame:
     """sequence_id and offset for each piece; offsets in a sequence have no gaps.
 
-    Pieces are dealt to groups by a hash, so a retry deals them alike. Ties of
-    length go by doc_id, start and checksum.
+    Documents are dealt to groups by a hash, so a retry deals them alike; pieces that
+    fill a sequence by themselves are dealt one by one, so that no document, however
+    long, makes a group large. Ties of length go by doc_id, start, checksum and copy.
     """
     groups = max(1, -(-n_docs // group_docs))
-    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups))
+    full = F.when(F.col("length") == sequence, F.col("start")).otherwise(-1)
+    key = F.pmod(F.xxhash64("doc_id", "copy", full, F.lit(seed)), F.lit(groups))
     out = f"{PIECES}, sequence_id long, offset long"
 
     def one(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
+        rows = rows.sort_values(["doc_id", "start", "ids_crc32", "copy"], kind="stable")
         bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), sequence)
         return rows.drop(columns="bin_group").assign(sequence_id=(int(group[0]) << 32) + bins, offset=offsets)
 
