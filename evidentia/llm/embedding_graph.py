@@ -194,7 +194,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, shard: in
     Rows link when labels are equal and not null and the cosine is `cosine` or more. A
     vector that is null, zero or holds null or non-finite components, or has no label,
     links with nothing; so do vectors of different lengths. Equal vectors link with
-    each other. All links are found; audit_recall() checks it. Other columns are ignored. A null vec_id takes
+    each other. All links are found; audit_recall() checks it. An empty table gives no
+    rows; other columns are ignored. A null vec_id takes
     part, but can't be a component's id unless it is alone.
     """
     rows = renamed(vectors, vec_id="vec_id", label="label", embedding="embedding").selectExpr("cast(vec_id as long) vec_id", "cast(label as string) label", "cast(embedding as array<double>) embedding")
@@ -219,25 +220,29 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, shard: in
     )
 
 
-def audit_recall(vectors: DataFrame, found: DataFrame, cosine: float = COSINE, queries: int = 500) -> tuple[int, int]:
-    """(links found, links there) of at most `queries` vectors with an id divisible by 100, by brute force against all rows."""
+def audit_recall(vectors: DataFrame, found: DataFrame, cosine: float = COSINE, block: int = 4096) -> tuple[int, int]:
+    """(links found, links there) of all vectors with an id divisible by 100, by brute force
+    against all rows, `block` queries at a time."""
     rows = usable(vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")))
-    asked = rows.where("vec_id % 100 = 0").orderBy(F.xxhash64("vec_id")).limit(queries).toPandas()
-    held = vectors.sparkSession.sparkContext.broadcast(asked)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = held.value
-        for part in batches:
-            for i in range(len(q)):
-                v = q["embedding"][i]
-                own = part[(part["label"] == q["label"][i]) & (part["vec_id"] != q["vec_id"][i])]
-                own = own[[len(e) == len(v) for e in own["embedding"]]]
-                n = int((unit(np.stack(own["embedding"].to_numpy())) @ unit(np.asarray(v, np.float64)[None, :])[0] >= cosine).sum()) if len(own) else 0
-                yield pd.DataFrame({"vec_id": [q["vec_id"][i]], "n": [n]})
-
-    there = rows.mapInPandas(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    both = there.join(found.select("vec_id", "n_links"), "vec_id").agg(F.sum("n_links"), F.sum("n")).first()
-    return int(both[0] or 0), int(both[1] or 0)
+    asked = rows.where("vec_id % 100 = 0")
+    blocks = max(1, -(-asked.count() // block))
+    there = 0
+    for k in range(blocks):
+        held = vectors.sparkSession.sparkContext.broadcast(asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).toPandas())
+
+        def count(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            q = {key: (own["vec_id"].to_numpy(), unit(np.stack(own["embedding"].to_numpy()))) for key, own in held.value.groupby(["label", held.value["embedding"].str.len()])}
+            for part in batches:
+                for key, own in part.groupby(["label", part["embedding"].str.len()]):
+                    if key in q:
+                        hit = q[key][1] @ unit(np.stack(own["embedding"].to_numpy())).T >= cosine
+                        hit &= q[key][0][:, None] != own["vec_id"].to_numpy()[None, :]
+                        yield pd.DataFrame({"n": [int(hit.sum())]})
+
+        there += rows.mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
+        held.destroy()
+    links = asked.select("vec_id").distinct().join(found, "vec_id").agg(F.sum("n_links")).first()[0]
+    return int(links or 0), int(there)
 
 
 def op8_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
