@@ -65,6 +65,73 @@ def brute_count(pieces, word):
     return best[-1][1]
 
 
+def test_levels_of_the_trie_equal_each_word_by_itself(monkeypatch):
+    pieces = token_counts.zipf_pieces()
+    trie, rng = token_counts.CountTrie(pieces), random.Random(8)
+    words = sorted({"".join(rng.choice("abcdeéthinonzß日☃𝒳") for _ in range(rng.randint(1, 40))) for _ in range(3000)})
+    counts = trie.level_counts(words).tolist()
+    assert counts == [trie.long_count(w) for w in words] and counts[:300] == [brute_count(pieces, w) for w in words[:300]]
+    monkeypatch.setattr(token_counts, "MEMO_BYTES", 20_000)  # many fresh starts
+    monkeypatch.setattr(token_counts, "AT_ONCE", 7)
+    for i in range(0, 600, 60):
+        trie.put(set(words[i : i + 100]))
+        assert all(trie.count[w] == trie.long_count(token_counts.SPACE + w) for w in words[i : i + 100])
+
+
+def test_a_very_long_token_is_whole(spark, tmp_path):
+    long = "thequickbrown" * 20_000
+    d = docs(spark, [(1, long), (2, "a"), (3, "x" + long + " b")])
+    trie = token_counts.CountTrie(token_counts.zipf_pieces())
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.token_counts(d).collect()}
+    assert got[1] == (1, trie.long_count("▁" + long)) and got[3] == (2, trie.long_count("▁x" + long) + trie.terminal("▁b"))
+    texts = {r.doc_id: r.text for r in d.collect()}
+    check_packing(packing.pack_documents(d).collect(), texts)
+    token_files.write_token_files(d, str(tmp_path / "long"))
+    rows = token_files.read_token_files(spark, str(tmp_path / "long")).orderBy("doc_id").collect()
+    assert [list(r.ids) for r in rows] == reference_ids(list(texts.values()), 1)
+
+
+def test_a_small_memo_changes_no_ids(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcÉéßœİK0.,!?-") for _ in range(rng.randint(1, 9))) for _ in range(60)) for _ in range(80)]
+    monkeypatch.setattr(tokenizer, "MEMO_BYTES", 30_000)
+    enc = tokenizer.Encoder(tokenizer.vocabulary())
+    got = [ids for i in range(0, 80, 8) for ids in enc.batch(texts[i : i + 8])]
+    assert got == [np.array(ids[:-1], "<u4").tobytes() for ids in reference_ids(texts, 0)]
+
+
+def test_repeated_rows_are_dealt_apart(spark):
+    d = docs(spark, [(5, "one and the same")] * 400).coalesce(1)
+    rows = packing.pack_documents(d, group_docs=10).collect()
+    assert len(rows) == 400 and len({r.sequence_id >> 32 for r in rows}) > 20
+    per = {}
+    for r in rows:
+        per.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in per.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:i]) for i in range(len(own))]
+
+
+def test_token_files_hold_what_was_asked_for(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    d = spark.createDataFrame([(i, f"words of number {i} " * 40) for i in range(4000)], "doc_id long, text string")
+    for encoding, want in (("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")):
+        path = str(tmp_path / encoding)
+        token_files.write_token_files(d, path, options=token_files.write_options(encoding, row_group=64 << 10, page=4 << 10, page_rows=64))
+        groups = 0
+        for f in glob.glob(path + "/*.parquet"):
+            meta = pq.ParquetFile(f).metadata
+            groups += meta.num_row_groups
+            for g in range(meta.num_row_groups):
+                columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+                ids = next(c for n, c in columns.items() if n.startswith("ids"))
+                assert want in ids.encodings and ids.has_offset_index and columns["doc_id"].has_column_index
+                assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and meta.row_group(g).total_byte_size < 1 << 20
+        assert groups > 1
+
+
 def test_token_counts_of_documents(spark, sf, monkeypatch):
     pieces = token_counts.zipf_pieces()
     rows = {r.doc_id: r for r in token_counts.token_counts(docs(spark)).collect()}
@@ -197,6 +264,33 @@ def test_language_id_edges(spark):
     assert profiles.nearest("the and")[0] == "en" and profiles.nearest("und das")[0] == "de"
 
 
+def plain_profile(texts, size):
+    from collections import Counter
+
+    n = Counter()
+    for text in texts:
+        s = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in " " + text.lower() + " "))
+        n.update(s[i : i + k] for k in (1, 2, 3) for i in range(len(s) - k + 1) if (k > 1 or s[i] != " ") and not (k == 3 and s[i + 1] == " "))
+    code = lambda g: (0, 1 << 62, 1 << 63)[len(g) - 1] | int("".join(f"{0 if c == ' ' else ord(c):021b}" for c in g), 2)  # noqa: E731  ties go by code
+    return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], code(x[0])))[:size]]
+
+
+def test_predictions_equal_plain_out_of_place_distances(spark, sf):
+    """The whole result, with profiles and distances by plain loops."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "text").collect()
+    own, size = {}, language_id.PROFILE
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None and r.text is not None:
+            own.setdefault(r.lang, []).append(r.text)
+    profiles = {lang: {g: i for i, g in enumerate(plain_profile(texts, size))} for lang, texts in own.items()}
+    for got in language_id.op6_language_id(spark, sf).collect():
+        mine = plain_profile([next(r.text for r in rows if r.doc_id == got.doc_id) or ""], size)
+        far = {lang: sum(abs(p[g] - i) if g in p else size for i, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want = (best, 1 - far[best] / (size * len(mine))) if mine else ("und", 0.0)
+        assert got.lang_pred == want[0] and abs(got.score - want[1]) < 1e-12
+
+
 def test_gram_counts_equal_a_plain_count(monkeypatch):
     from collections import Counter
 

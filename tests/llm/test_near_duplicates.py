@@ -236,3 +236,23 @@ def test_a_crowd_below_the_similarity_with_near_copies_inside(spark, weights, mo
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weights=weights).collect()
     assert split  # the case is one of a crowd
     assert {r.doc_id: r.class_id for r in found} == classes(rows, weights=weights)
+
+
+def test_long_lines_recur_from_two_documents_on(spark):
+    long, other = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(51)), " ".join(f"term{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50))
+    rows = [(1, f"{long}\nown words of the first"), (2, f"own words of the second\n{long}"), (3, other), (4, other), (5, f"{long} more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(df, long_docs=2).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("own words of the second", 1), 3: (other, 0), 4: (other, 0), 5: (rows[4][1], 0)}
+    assert not any(r.n_dropped for r in line_dedup.dedup_lines(df).collect())
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    rows = [(i, "one line that is the same everywhere\n" + "own " * i + "and more of it") for i in range(1, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["_key", "_drop", "_doc", "_text", "leaf", "template", "long", "first", "n", "a.b"]
+    for name in names:
+        df = df.withColumn(name, F.lit("mine"))
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", *names, "n_lines", "n_dropped"]
+    assert [(set(r[2:12]), r.n_dropped) for r in out.orderBy("doc_id").collect()] == [({"mine"}, 0), ({"mine"}, 1), ({"mine"}, 1), ({"mine"}, 1)]

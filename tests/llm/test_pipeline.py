@@ -52,3 +52,21 @@ def test_odd_tables_pass_through(spark, sf, n):
         docs = written(stage(spark, docs, sf), "test-odd")
     got = {r.doc_id for r in docs.collect()}
     assert got <= {3, None} and (3 in got or not n)
+
+
+def test_rows_are_told_by_id_and_text(spark, sf):
+    item = table(spark, sf, "benchmark").where("text is not null").orderBy(F.desc(F.length("text"))).first().text
+    clean = ["a clean text that no benchmark item has in it at all", "another clean text with other words than the first of them"]
+    rows = [(None, item), (None, clean[0]), (7, item), (7, clean[1]), (8, "text of the pair that is a copy here"), (None, "text of the pair that is a copy here")]
+    names = ["_gone_doc_id", "score", "lang_pred", "n_lines", "n_dropped", "_found", "_key", "kept", "text_key"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    for c in names:
+        docs = docs.withColumn(c, F.lit("mine"))
+    stages = dict(corpus_pipeline.STAGES)
+    out = {}
+    for name in ("language_id", "line_dedup", "near_dedup", "decontamination"):
+        got = stages[name](spark, docs, sf)
+        assert got.columns == docs.columns and all(set(r[3:]) == {"mine"} for r in got.collect()), name
+        out[name] = sorted(((r.doc_id or 0), r.text) for r in got.collect())
+    assert out["decontamination"] == sorted(((d or 0), t) for d, t in rows if t != item)
+    assert (0, rows[5][1]) not in out["near_dedup"] and (8, rows[4][1]) in out["near_dedup"] and (7, clean[1]) in out["near_dedup"]
