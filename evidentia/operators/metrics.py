@@ -37,7 +37,10 @@ def macro(rows: DataFrame, classes: list[int] | None = None) -> DataFrame:
         p, r = F.coalesce(p, F.lit(0.0)), F.coalesce(r, F.lit(0.0))
     f = F.try_divide(2 * p * r, p + r)
     f = F.coalesce(f, F.lit(0.0)) if classes is None else f
-    return per.agg(*[F.avg(x).alias(n) for n, x in (("precision", p), ("recall", r), ("f1", f))])
+    # where rows are scored but no class has a value, the mean is 0; of no rows it's null
+    mean = lambda x: F.when(F.sum("truth") > 0, F.coalesce(F.avg(x), F.lit(0.0)))
+    mean = mean if classes is not None else F.avg
+    return per.agg(*[mean(x).alias(n) for n, x in (("precision", p), ("recall", r), ("f1", f))])
 
 
 def class_recall(rows: DataFrame) -> DataFrame:
@@ -49,3 +52,43 @@ def log_sums(log: DataFrame) -> DataFrame:
     change = F.map_values(F.map_zip_with(F.coalesce("before", F.create_map().cast("map<string,int>")), F.coalesce("after", F.create_map().cast("map<string,int>")), lambda k, x, y: F.coalesce(y, F.lit(0)) - F.coalesce(x, F.lit(0))))
     add = lambda sign: F.aggregate(change, F.lit(0), lambda s, x: s + F.greatest(F.lit(0), sign * x))
     return log.where(~F.col("is_module")).groupBy("run_id").agg(F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"), F.sum(add(1)).alias("found"), F.sum(add(-1)).alias("discarded"))
+
+
+def label_counts(rows: DataFrame, label: str) -> DataFrame:
+    return rows.groupBy(label).agg(F.count("*").alias("n"))
+
+
+def valid_labels(rows: DataFrame, *columns: str, labels: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """Rows whose labels are all among those that count."""
+    for c in columns:
+        rows = rows.where(F.col(c).isin(*labels))
+    return rows
+
+
+def tokens_by_step(log: DataFrame) -> DataFrame:
+    """Per run its tokens, and those of each step in order; modules don't count."""
+    at = F.struct("seq", "step", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    steps = F.transform(F.array_sort(F.collect_list(at)), lambda x: F.struct(x["step"].alias("step"), x["tokens"].alias("tokens")))
+    return log.where(~F.coalesce("is_module", F.lit(False))).groupBy("run_id").agg(F.sum(F.coalesce("tokens", F.lit(0))).alias("total"), steps.alias("by_step"))
+
+
+def evidence_changes(log: DataFrame) -> DataFrame:
+    """Per run of a log (run_id, is_module, before, after as maps of counts): found and discarded,
+    in all and by source (maps). Steps without both counts don't count; where no step has
+    them all four are null."""
+    none = F.create_map().cast("map<string,int>")
+    counted = ~F.coalesce("is_module", F.lit(False)) & F.col("before").isNotNull() & F.col("after").isNotNull()
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
+    step = F.when(counted, total(F.col("after")) - total(F.col("before")))
+    change = F.when(counted, F.map_zip_with(F.col("before"), F.col("after"), lambda k, x, y: F.coalesce(y, F.lit(0)) - F.coalesce(x, F.lit(0)))).otherwise(none)
+    steps = log.select("run_id", step.alias("d"), change.alias("change"))
+    whole = steps.groupBy("run_id").agg(F.sum(F.when(F.col("d").isNotNull(), F.greatest("d", F.lit(0)))).alias("found"), F.sum(F.when(F.col("d").isNotNull(), F.greatest(-F.col("d"), F.lit(0)))).alias("discarded"), F.count("d").alias("n"))
+    each = steps.select("run_id", F.explode("change").alias("source", "d")).groupBy("run_id", "source").agg(F.sum(F.greatest("d", F.lit(0))).alias("up"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("down"))
+    pairs = lambda c: F.map_from_entries(F.array_sort(F.filter(F.collect_list(F.struct("source", c)), lambda x: x[c] > 0)))
+    by = each.groupBy("run_id").agg(pairs("up").alias("found_by_source"), pairs("down").alias("discarded_by_source"))
+    empty = F.create_map().cast("map<string,bigint>")
+    some = F.col("n") > 0
+    return whole.join(by, "run_id", "left").select(
+        "run_id", F.when(some, F.col("found")).alias("found"), F.when(some, F.col("discarded")).alias("discarded"),
+        F.when(some, F.coalesce("found_by_source", empty)).alias("found_by_source"), F.when(some, F.coalesce("discarded_by_source", empty)).alias("discarded_by_source"),
+    )

@@ -13,11 +13,24 @@ def token_windows(tokens: Column, size: int = 512, overlap: int = 64) -> Column:
     return F.when(n > 0, F.transform(starts, lambda s: F.slice(tokens, s + 1, size))).otherwise(F.array().cast("array<array<string>>"))
 
 
+#: Hex digits of a hash that deal the rows of a label to parts.
+SPLIT_DIGITS = 2
+
+
 def stratified_split(rows: DataFrame, label: str, key: str, share: float, seed: int = 0) -> DataFrame:
-    """rows with split: in each label the first part by a seeded hash is "train"."""
-    w = Window.partitionBy(label)
-    order = w.orderBy(F.xxhash64(key, F.lit(seed)), key)
-    return rows.withColumn("split", F.when(F.row_number().over(order) <= F.floor(F.count("*").over(w) * share), "train").otherwise("test"))
+    """rows with split: in each label the first share, by an md5 of key and seed, is "train".
+
+    The hash's first digits deal a label to 256 parts, whose sizes tell where the cut
+    falls; rows are ranked within a part only, so no task holds a whole label.
+    """
+    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    dealt = rows.withColumn("_hash", h).withColumn("_part", F.substring("_hash", 1, SPLIT_DIGITS))
+    sizes = dealt.groupBy(F.col(label).alias("_label"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy("_label")
+    sizes = sizes.select("_label", "_p", (F.sum("_n").over(own.orderBy("_p")) - F.col("_n")).alias("_before"), F.floor(F.sum("_n").over(own) * share).alias("_train"))
+    inside = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_hash", key))
+    ranked = dealt.withColumn("_rank", inside).join(sizes, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_p")))
+    return ranked.withColumn("split", F.when(F.col("_before") + F.col("_rank") <= F.col("_train"), "train").otherwise("test")).drop("_hash", "_part", "_label", "_p", "_before", "_train", "_rank")
 
 
 def largest_remainder(n: int, ratios: list[float]) -> list[int]:
@@ -31,9 +44,37 @@ def largest_remainder(n: int, ratios: list[float]) -> list[int]:
 
 def log_order(log: DataFrame) -> DataFrame:
     """A log in which a module comes before its steps: rows (run_id, seq, indent, is_module) with
-    place. A step belongs to the next module of a lower indent."""
-    w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    parent = F.min(F.when(F.col("is_module"), F.col("seq"))).over(w)
-    keyed = log.withColumn("parent", F.when(F.col("is_module") & (F.col("indent") == 0), F.col("seq")).when(F.col("indent") > 0, parent).otherwise(F.col("seq")))
-    order = Window.partitionBy("run_id").orderBy("parent", ~F.col("is_module"), "seq")
-    return keyed.withColumn("place", F.row_number().over(order)).drop("parent")
+    place. A step belongs to the next module that is one level further out; entries whose
+    module never ends have no place and are left out. A run's log is one row's list.
+    """
+    entries = log.groupBy(F.col("run_id").alias("_run")).agg(F.collect_list(F.struct("seq", "indent", "is_module")).alias("_log"))
+
+    def module_of(seq: Column) -> Column:
+        own = F.get(F.filter("_log", lambda e: e["seq"] == seq), 0)
+        return F.array_min(F.transform(F.filter("_log", lambda m: m["is_module"] & (m["indent"] == own["indent"] - 1) & (m["seq"] > seq)), lambda m: m["seq"]))
+
+    joined = log.join(entries, F.col("run_id").eqNullSafe(F.col("_run")))
+    up = F.when(F.col("indent") > 0, F.sequence(F.lit(1), F.col("indent"))).otherwise(F.array().cast("array<int>"))
+    path = F.aggregate(up, F.array(F.col("seq")), lambda path, _: F.concat(F.array(module_of(F.get(path, 0))), path))
+    placed = joined.withColumn("_path", path).where(~F.exists("_path", lambda x: x.isNull()))
+    w = Window.partitionBy("run_id").orderBy("_path")
+    return placed.withColumn("place", F.row_number().over(w)).drop("_run", "_log", "_path")
+
+
+def running_sum(rows: DataFrame, value: str, at: list[str], *keys: str) -> DataFrame:
+    """rows with total: the sum of value so far in each key."""
+    w = Window.partitionBy(*keys).orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("total", F.sum(F.coalesce(F.col(value), F.lit(0))).over(w))
+
+
+def window_rows(pages: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
+    """(doc_id, chunk_id, pages, tokens) of pages (doc_id, page, tokens): windows over a
+    document's tokens in order of page, each with the pages it touches, its id the document's
+    and its place in six digits. Windows of blank tokens alone are left out but keep their number."""
+    each = F.transform(F.col("tokens"), lambda t: F.struct(F.col("page").alias("page"), t.alias("token")))
+    whole = pages.where(F.size("tokens") > 0).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", each.alias("x")))), lambda p: p["x"])).alias("all"))
+    n = F.size("all")
+    starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
+    cut = whole.select("doc_id", F.posexplode(F.transform(starts, lambda s: F.slice("all", s + 1, size))).alias("at", "part"))
+    some = cut.where(F.exists("part", lambda x: F.trim(x["token"]) != ""))
+    return some.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.lpad(F.col("at").cast("string"), 6, "0")).alias("chunk_id"), F.array_sort(F.array_distinct("part.page")).alias("pages"), F.col("part.token").alias("tokens"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from evidentia.functions import display as D
 from evidentia.functions import text as T
 from evidentia.functions import vectors as V
 from evidentia.operators import evidence as E
 from evidentia.operators import metrics as M
 from evidentia.operators import windows as W
+from evidentia.plans.evaluation import summaries
 from evidentia.plans.pipeline import lexical
 from evidentia.sources.readers import not_done, read_tables
 
@@ -196,17 +198,18 @@ def joined_totals(spark, d):
 
 @query("SELECT o_orderkey, o_custkey, rn FROM (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
 def top_m(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return read_tables(spark, d, "orders")[0].select("o_orderkey", "o_custkey", F.row_number().over(w).cast("long").alias("rn")).where("rn <= 3")
+    e = read_tables(spark, d, "orders")[0].select(F.col("o_custkey").alias("stmt_id"), F.col("o_orderkey").alias("ord"), F.col("o_totalprice").alias("relevance"))
+    return E.top_by_relevance(e, 3).where("chosen").select(F.col("ord").alias("o_orderkey"), F.col("stmt_id").alias("o_custkey"), F.col("rank").cast("long").alias("rn"))
 
 
 @query("""SELECT o_custkey % 100 AS stmt_id, CASE WHEN count(*) FILTER (s AND o_orderstatus = 'F') > 40 THEN 'false' WHEN count(*) FILTER (s AND o_orderstatus = 'O') >= 10 THEN 'true' ELSE 'uncertain' END AS verdict
 FROM (SELECT *, o_totalprice > 200000 AS s FROM orders) GROUP BY 1""")
 def rule_counts(spark, d):
     (o,) = read_tables(spark, d, "orders")
-    s = F.col("o_totalprice") > 200000
-    no, yes = F.count_if(s & (F.col("o_orderstatus") == "F")), F.count_if(s & (F.col("o_orderstatus") == "O"))
-    return o.groupBy((F.col("o_custkey") % 100).alias("stmt_id")).agg(F.when(no > 40, "false").when(yes >= 10, "true").otherwise("uncertain").alias("verdict"))
+    relevance = F.when(F.col("o_totalprice") > 200000, 1.0).otherwise(0.0)
+    stance = F.when(F.col("o_orderstatus") == "F", "Refutes").when(F.col("o_orderstatus") == "O", "Supports").otherwise("Neutral")
+    verdict = E.rule_verdict(relevance, F.lit(1.0), stance, F.lit(1.0), many=10, against=40)
+    return o.groupBy((F.col("o_custkey") % 100).alias("stmt_id")).agg(verdict.alias("verdict"))
 
 
 @query("""SELECT event_id, CASE WHEN p IS NULL THEN NULL ELSE floor(p + 0.5)::BIGINT END AS percent, CASE WHEN floor(p + 0.5) <= 30 THEN 'low' WHEN floor(p + 0.5) <= 75 THEN 'medium' WHEN p IS NOT NULL THEN 'high' END AS band
@@ -231,8 +234,109 @@ def fallback_queries(spark, d):
     return read_tables(spark, d, "benchmark")[0].select("item_id", "text", T.fallback_query(F.col("text")).alias("query"))
 
 
-@query()
+WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'))"
+
+
+@query(f"""SELECT conv_id, turn, coalesce(len(list_intersect(a, b)) / nullif(len(a), 0), 0)::DOUBLE AS relevance
+FROM (SELECT conv_id, turn, {WORDS.format('text')} AS a, {WORDS.format('lag(text) OVER (PARTITION BY conv_id ORDER BY turn)')} AS b FROM conversations)""")
 def lexical_relevance(spark, d):
     """Words of conversations' turns found in the turn before, by the offline scorer."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     return read_tables(spark, d, "conversations")[0].select("conv_id", "turn", lexical(F.col("text"), F.lag("text").over(w)).alias("relevance"))
+
+
+#: Kinds of publication and the weight each has by the rules, near misses last.
+EXPECTED = (
+    ("Meta-Analysis", 0.9), ("Meta Analysis", 0.9), ("Systematic Review", 0.85), ("Practice Guideline", 0.85), ("Randomized Controlled Trial", 0.8), ("Randomised Controlled Trial", 0.8),
+    ("Clinical Trial, Phase III", 0.78), ("Controlled Clinical Trial", 0.75), ("Pragmatic Clinical Trial", 0.75), ("Adaptive Clinical Trial", 0.75), ("Equivalence Trial", 0.75),
+    ("Clinical Trial, Phase II", 0.7), ("Clinical Trial, Phase IV", 0.7), ("Clinical Trial, Phase I", 0.7), ("Clinical Trial Protocol", 0.7), ("Clinical Trial", 0.7),
+    ("Observational Study", 0.6), ("Clinical Study", 0.6), ("Consensus Development Conference, NIH", 0.6), ("Consensus Development Conference", 0.6), ("Guideline", 0.6),
+    ("Comparative Study", 0.6), ("Multicenter Study", 0.6), ("Evaluation Studies", 0.6), ("Validation Study", 0.55), ("Journal Article", 0.5), ("Review", 0.55), ("Case Reports", 0.4),
+    ("Technical Report", 0.4), ("Preprint", 0.4), ("Meeting Abstract", 0.3), ("Editorial", 0.2), ("Comment", 0.2), ("Letter", 0.2), ("News", 0.15), ("Expression of Concern", 0.05),
+    ("Duplicate Publication", 0.05), ("Retraction of Publication", 0.4), ("Retracted Publication", 0.4),
+    ("Phase III Study", 0.4), ("Phase I", 0.4), ("Newspaper Article", 0.4), ("Previews", 0.4), ("Guidelines", 0.4),
+)
+
+
+@query(f"SELECT p_partkey, [{', '.join(repr(k) for k, _ in EXPECTED)}][p_partkey % {len(EXPECTED)} + 1] AS kind, [{', '.join(str(w) for _, w in EXPECTED)}][p_partkey % {len(EXPECTED)} + 1]::DOUBLE AS weight FROM part")
+def weight_rules(spark, d):
+    kind = F.get(F.array(*[F.lit(k) for k, _ in EXPECTED]), (F.col("p_partkey") % len(EXPECTED)).cast("int"))
+    return read_tables(spark, d, "part")[0].select("p_partkey", kind.alias("kind")).withColumn("weight", E.publication_weight(F.array("kind")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def resume_items(spark, d):
+    o, c = read_tables(spark, d, "orders", "customer")
+    return not_done(o.select("o_orderkey", "o_custkey"), c.where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select("o_orderkey")
+
+
+@query("SELECT doc_id, CASE WHEN rn <= floor(n * 0.7) THEN 'train' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || ':3'), doc_id) AS rn, count(*) OVER (PARTITION BY quality) AS n FROM labels)")
+def hashed_split(spark, d):
+    return W.stratified_split(read_tables(spark, d, "labels")[0], "quality", "doc_id", 0.7, seed=3).select("doc_id", "split")
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN 'PubMed ' || doc_id WHEN 2 THEN 'RAG ' || doc_id ELSE 'Untitled source' END AS title,
+CASE WHEN s >= r AND s >= 0.5 THEN 'Supports' WHEN r >= 0.5 THEN 'Refutes' ELSE 'Neutral' END AS stance, (doc_id % 101) * 1.8::DOUBLE - 90 AS needle
+FROM (SELECT *, (n_chars % 100) / 100.0::DOUBLE AS s, (doc_id % 100) / 100.0::DOUBLE AS r FROM documents)""")
+def display_rows(spark, d):
+    c, none = F.col("doc_id"), F.lit(None).cast("string")
+    kind = lambda n, x: F.when(c % 4 == n, x)
+    title = D.title(kind(0, F.col("source")), kind(1, c), none, kind(2, c))
+    stance = D.stance_text(none, (F.col("n_chars") % 100) / 100.0, (c % 100) / 100.0, F.lit(0.5))
+    return read_tables(spark, d, "documents")[0].select("doc_id", title.alias("title"), stance.alias("stance"), D.needle(c % 101).alias("needle"))
+
+
+@query("SELECT lang, sum(n)::BIGINT AS total, string_agg(source || ':' || n, ',' ORDER BY source) AS by_source FROM (SELECT lang, coalesce(source, 'Unknown') AS source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY 1")
+def source_counts(spark, d):
+    e = read_tables(spark, d, "documents")[0].select("lang", F.col("source").alias("source_type"))
+    pairs = F.transform(F.map_entries("by_source"), lambda x: F.concat_ws(":", x["key"], x["value"]))
+    return E.counts_by_source(e, "lang").select("lang", "total", F.array_join(pairs, ",").alias("by_source"))
+
+
+@query("""SELECT doc_id, doc_id || ':' || lpad(i::VARCHAR, 6, '0') AS chunk_id, least(512, n - i * 448)::BIGINT AS n
+FROM (SELECT doc_id, n, unnest(range(0, CASE WHEN n = 0 THEN 0 WHEN n <= 512 THEN 1 ELSE (1 + ceil((n - 512) / 448.0))::BIGINT END)) AS i
+FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''))::BIGINT AS n FROM documents))""")
+def chunk_rows(spark, d):
+    words = F.filter(F.split("text", T.SPACE), lambda x: x != "")
+    pages = read_tables(spark, d, "documents")[0].select("doc_id", F.lit(1).alias("page"), words.alias("tokens"))
+    return W.window_rows(pages).select("doc_id", "chunk_id", F.size("tokens").cast("long").alias("n"))
+
+
+@query("SELECT event_id, sum(event_id % 100) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS total FROM events")
+def running_totals(spark, d):
+    e = read_tables(spark, d, "events")[0].withColumn("tokens", F.col("event_id") % 100)
+    return W.running_sum(e, "tokens", ["ts", "event_id"], "user_id").select("event_id", "total")
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+def label_totals(spark, d):
+    return M.label_counts(read_tables(spark, d, "documents")[0], "lang")
+
+
+@query("""WITH r AS (SELECT 'c' || doc_id % 3 AS config, quality AS t, toxic AS p FROM labels), k AS (SELECT config, t AS c FROM r WHERE p IS NOT NULL UNION SELECT config, p FROM r WHERE p IS NOT NULL),
+s AS (SELECT k.config, k.c, count(*) FILTER (t = c AND p IS NOT NULL) AS truth, count(*) FILTER (p = c) AS said, count(*) FILTER (t = c AND p = c) AS hit FROM k JOIN r ON r.config = k.config GROUP BY ALL),
+m AS (SELECT config, round(avg(coalesce(hit / nullif(said, 0), 0)), 9) AS precision, round(avg(coalesce(hit / nullif(truth, 0), 0)), 9) AS recall, round(avg(coalesce(2.0 * hit / nullif(said + truth, 0), 0)), 9) AS f1_score FROM s GROUP BY 1)
+SELECT r.config, count(p) AS n_scored, count(*) - count(p) AS n_skipped, round(avg(CASE WHEN p IS NOT NULL THEN (t = p)::INT END), 9) AS accuracy, any_value(precision) AS precision, any_value(recall) AS recall, any_value(f1_score) AS f1_score FROM r JOIN m ON m.config = r.config GROUP BY 1""")
+def evaluation_summaries(spark, d):
+    records = read_tables(spark, d, "labels")[0].select(F.concat(F.lit("c"), F.col("doc_id") % 3).alias("config"), F.col("quality").alias("true_label"), F.col("toxic").alias("predicted_label"))
+    return summaries(records).select("config", "n_scored", "n_skipped", *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1_score")])
+
+
+@query("""SELECT o_orderkey, '- ' || CASE o_orderstatus WHEN 'F' THEN 'PMID' WHEN 'O' THEN 'RAG' ELSE 'SOURCE' END || ' | w ' || printf('%.2f', (o_orderkey % 100) / 100.0::DOUBLE)
+|| CASE WHEN o_custkey % 3 = 0 THEN '' ELSE ' | rel ' || printf('%.2f', (o_custkey % 100) / 100.0::DOUBLE) END
+|| CASE WHEN o_custkey % 2 = 0 THEN ' | stance abs Supports (S' || printf('%.2f', (o_custkey % 50) / 50.0::DOUBLE) || ')' ELSE '' END || ' | text: ' || CASE WHEN o_orderkey % 5 = 0 THEN '[no content]' ELSE o_orderpriority END AS line FROM orders""")
+def source_lines(spark, d):
+    k, c, none = F.col("o_orderkey"), F.col("o_custkey"), F.lit(None).cast("double")
+    source = F.when(F.col("o_orderstatus") == "F", "PubMed").when(F.col("o_orderstatus") == "O", "RAG")
+    line = T.source_line(
+        source, (k % 100) / 100.0, F.when(c % 3 != 0, (c % 100) / 100.0), F.when(c % 2 == 0, "Supports"), F.when(c % 2 == 0, (c % 50) / 50.0), none, none,
+        F.when(k % 5 == 0, " ").otherwise(F.col("o_orderpriority")),
+    )
+    return read_tables(spark, d, "orders")[0].select("o_orderkey", line.alias("line"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 1000 THEN substr(text, 1, 1000) || '... [truncated ' || (length(text) - 1000) || ' chars]' ELSE text END AS cut,
+coalesce(nullif(regexp_replace(regexp_replace(trim(substr(text, 1, 30)), '[ \\t\\n\\x0B\\f\\r]+', '_', 'g'), '[^A-Za-z0-9._-]+', '', 'g'), ''), 'Unnamed_Pipeline') AS name FROM documents""")
+def cut_texts(spark, d):
+    t = F.col("text")
+    return read_tables(spark, d, "documents")[0].select("doc_id", T.cut_long(t).alias("cut"), T.sanitized_name(F.substring(t, 1, 30)).alias("name"))

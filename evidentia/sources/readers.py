@@ -40,14 +40,67 @@ def items_of_text(text: str) -> list[tuple[int, str, int]]:
     return [(i if i is not None else n, s, label) for n, (i, s, label) in enumerate(found, 1)]
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Items (id, statement, label) of files with a line each: JSON objects, or two fields
+    with a tab between, one of them digits, the label. Files are split over tasks; an item
+    without id has its place among the items that aren't blank. Bad lines raise when run.
+    """
+    line = F.trim("value")
+    rows = spark.read.text(path).where(line != "").withColumn("at", F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n")))
+    json = F.from_json(line, "id long, statement string, text string, label int")
+    parts = F.split("value", "\t")
+    digits = lambda i: F.trim(F.get(parts, i)).rlike(r"^\d+$")
+    bad = F.concat(F.lit("which field is the label? "), F.col("value"))
+    fields = F.when((F.size(parts) == 2) & (digits(0) != digits(1)), F.when(digits(0), F.struct(F.lit(None).cast("long").alias("id"), F.trim(F.get(parts, 1)).alias("statement"), F.trim(F.get(parts, 0)).cast("int").alias("label"))).otherwise(
+        F.struct(F.lit(None).cast("long").alias("id"), F.trim(F.get(parts, 0)).alias("statement"), F.trim(F.get(parts, 1)).cast("int").alias("label"))
+    )).otherwise(F.raise_error(bad).cast("struct<id:bigint,statement:string,label:int>"))
+    item = F.when(line.startswith("{"), F.struct(json["id"].alias("id"), F.coalesce(json["statement"], json["text"]).alias("statement"), json["label"].alias("label"))).otherwise(fields)
+    return _numbered(rows.select("at", item.alias("x")).select("at", "x.*"))
+
+
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """Items of files that are one JSON list each; such a file can't be split, so a task reads it."""
+    rows = spark.read.schema("id long, statement string, text string, label int").option("multiLine", True).json(path)
+    rows = rows.withColumn("at", F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n")))
+    return _numbered(rows.select("at", "id", F.coalesce("statement", "text").alias("statement"), "label"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Missing ids are places from 1: counted in each partition, and from the partitions' sizes."""
+    part, own = F.spark_partition_id(), Window.partitionBy("part").orderBy("at")
+    rows = rows.withColumn("part", part)
+    sizes = rows.groupBy("part").agg(F.count("*").alias("size"), F.min("at").alias("first"))
+    # a row for each partition: the one task that adds them up reads no more
+    sizes = sizes.select("part", (F.sum("size").over(Window.orderBy("first")) - F.col("size")).alias("before"))
+    placed = rows.withColumn("n", F.row_number().over(own)).join(sizes, "part")
+    said = F.when(F.col("statement").isNull() | F.col("label").isNull(), F.raise_error(F.lit("an item has no statement or label")).cast("string")).otherwise(F.col("statement"))
+    return placed.select(F.coalesce("id", F.col("before") + F.col("n")).alias("id"), said.alias("statement"), "label")
+
+
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Dataset files, each read whole by one task."""
-    @F.udf("array<struct<id: long, statement: string, label: int>>")
-    def parse(content):
-        return items_of_text(bytes(content).decode("utf-8"))
+    """Items of dataset files of one kind: lists of JSON, or lines."""
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.trim("value")).first()
+    return read_list(spark, path) if first and first[0].startswith("[") else read_lines(spark, path)
+
+
+def read_claims_csv(spark: SparkSession, path: str, lang: str = "en") -> DataFrame:
+    """(row_id, lang, claim, label) of a CSV file with {lang}_claim and label, without blank claims.
+
+    A missing claim reads nan and stays, as pandas would have it. Raises on missing columns.
+    """
+    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    for c in (f"{lang}_claim", "label"):
+        if c not in df.columns:
+            raise ValueError(f"no column {c}")
+    claim = F.trim(F.coalesce(f"{lang}_claim", F.lit("nan")))
+    return df.select(F.monotonically_increasing_id().alias("row_id"), F.lit(lang).alias("lang"), claim.alias("claim"), F.col("label").try_cast("int").alias("label")).where("claim <> ''")
+
 
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.explode(parse("content")).alias("x")).select("x.*")
+def read_done(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a checkpoint, or none where nothing is written yet."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
 def records_of_text(text: str) -> list[dict]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +26,52 @@ def paired(prompts: DataFrame, usage: DataFrame, late: str = "10 minutes") -> Da
     """Prompts (call_id, ts) with their usage (call_id, used_at); those without one come when the watermark has passed."""
     p, u = prompts.withWatermark("ts", late), usage.withWatermark("used_at", late).withColumnRenamed("call_id", "used_call")
     return p.join(u, F.expr(f"call_id = used_call AND used_at BETWEEN ts AND ts + INTERVAL {late}"), "leftOuter")
+
+
+def latest_wins(requests: list[tuple[float, str]], busy: float, pending: tuple[float, str] | None = None, free_at: float = float("-inf")) -> tuple[list[tuple[float, str]], tuple[float, str] | None, float]:
+    """(started (time, key), request still pending, time when free) of requests in order of time.
+
+    One request is worked on at a time, for `busy` seconds. One that comes meanwhile waits
+    in a single slot, where a later one takes its place.
+    """
+    started = []
+    for t, key in requests:
+        if pending and free_at <= t:
+            started.append((free_at, pending[1]))
+            pending, free_at = None, free_at + busy
+        if t < free_at:
+            pending = (t, key)
+        else:
+            started.append((t, key))
+            free_at = t + busy
+    return started, pending, free_at
+
+
+SLOT = "pending_at double, pending_key string, free_at double"
+
+
+def one_at_a_time(requests: DataFrame, busy: float, late: str = "10 minutes") -> DataFrame:
+    """(user_id, started, key) of a stream of requests (user_id, ts, key), by latest_wins() for
+    each user; what still waits starts when the watermark passes the time it's free."""
+
+    def work(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        at, name, free = state.get if state.exists else (None, None, float("-inf"))
+        pending = (at, name) if name is not None else None
+        if state.hasTimedOut:
+            started, pending, free = ([(free, pending[1])], None, free + busy) if pending else ([], None, free)
+        else:
+            rows = sorted((t.timestamp(), k) for b in batches for t, k in zip(b["ts"], b["key"], strict=True))
+            started, pending, free = latest_wins(rows, busy, pending, free)
+        state.update((*(pending or (None, None)), free))
+        if pending:
+            state.setTimeoutTimestamp(max(int(free * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]] * len(started), "started": [s for s, _ in started], "key": [k for _, k in started]})
+
+    kind = requests.schema["user_id"].dataType.simpleString()
+    keyed = requests.withWatermark("ts", late).groupBy("user_id")
+    return keyed.applyInPandasWithState(work, f"user_id {kind}, started double, key string", SLOT, "append", "EventTimeTimeout")
+
+
+def idle_since(events: DataFrame, gap: str = "300 seconds", late: str = "10 minutes") -> DataFrame:
+    """(service, last, n): times at which a service had no event for `gap`, once the watermark has passed it."""
+    return events.withWatermark("ts", late).groupBy("service", F.session_window("ts", gap).alias("w")).agg(F.max("ts").alias("last"), F.count("*").alias("n")).drop("w")
