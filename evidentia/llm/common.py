@@ -48,16 +48,25 @@ def scratch(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Bytes of rows that go to a Python worker at a time, and come back.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def written(df: DataFrame, name: str, batch: str | None = None) -> DataFrame:
     """df, written as a table in the shared folder and read back: cuts lineage
-    and survives lost executors. The shuffle files behind it go once it's written."""
+    and survives lost executors. The shuffle files behind it go once it's written. batch
+    bounds what Python workers are sent at a time (such as "8m"): both sides hold a few of them.
+    """
     spark = df.sparkSession
-    path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path, wanted = scratch(spark, name), {CLEANUP: "true", **({BATCH: batch} if batch else {})}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,6 +35,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
 #: A bucket of at most so many members is compared at once.
 SMALL_BUCKET = 8
+#: What a worker is sent at a time of texts and of pairs of shingle sets.
+BATCH = "8m"
 #: Places of the sketch that orders shingles by how common they are: 8 MB, of any corpus.
 SLOTS = 1 << 20
 
@@ -282,7 +284,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     length is taken whole, an empty table gives no rows, and other columns are ignored.
     keyed adds text_key, the xxhash64 of the text, by which rows are told apart.
     """
-    signed = written(signatures(docs, words, bands, rows, weights), "signatures")
+    signed = written(signatures(docs, words, bands, rows, weights), "signatures", BATCH)
     copies = signed.where("n_words > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = written(copies, "distinct-texts")
     members = nodes.where("node is not null").select("node", F.explode("bands").alias("bucket"))
@@ -291,7 +293,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     members = written(members.join(written(sizes, "bucket-sizes"), "bucket").distinct(), "buckets")
     degree = written(members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree")), "degrees")
     ids = renamed(docs, node="doc_id", text="text").selectExpr("cast(node as long) node", "text")
-    sets = written(shingle_sets(ids.join(degree.select("node"), "node"), words, weights), "shingle-sets")
+    sets = written(shingle_sets(ids.join(degree.select("node"), "node"), words, weights), "shingle-sets", BATCH)
     sketches = written(nodes.join(degree.select("node"), "node").select("node", "sketch"), "sketches")
     members = written(members.join(degree, "node").select("bucket", "node", "degree", F.col("node").alias("class"), F.lit(float("inf")).alias("rest"), F.lit(0.0).alias("weight")), "members")
 
@@ -315,7 +317,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
             .select(F.least("h", "node").alias("u"), F.greatest("h", "node").alias("v")).distinct()
         )
         pairs = written(likely(pairs, sketches, similarity), "pairs")
-        found = written(similarities(pairs, sets).where(F.col("similarity") >= similarity).select("u", "v"), "near")
+        found = written(similarities(pairs, sets).where(F.col("similarity") >= similarity).select("u", "v"), "near", BATCH)
         done = centres.select("bucket", F.col("h").alias("node"))
         members = members.join(done, ["bucket", "node"], "left_anti").select("bucket", "node", "degree", "class", "rest", "weight")
         if not found.isEmpty():
@@ -330,7 +332,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         members, split = written(members, "members"), True
         apart = members.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
         known = written(members.join(apart, "bucket").select("node", "degree", "class").distinct(), "crowds")
-        finer = prefixes(written(sets.join(known.select("node"), "node", "left_semi"), "crowd-sets"), similarity)
+        finer = prefixes(written(sets.join(known.select("node"), "node", "left_semi"), "crowd-sets", BATCH), similarity)
         members = finer.join(known, "node").select("bucket", "node", "degree", "class", "rest", "weight")
 
     keys = nodes.where("node is not null").select("k1", "k2", "node")
