@@ -1,17 +1,22 @@
-"""Near-duplicate embeddings: the graph of all links, by shards with exact borders.
+"""Near-duplicate embeddings: a robust-pruned flat graph, searched in range from medoids.
 
-Vectors of one label are dealt to clusters, each to its nearest as its home. A vector is
-also a guest of every cluster whose border is so near that a vector in range of it can be
-at home beyond (see reached()). In each shard all guests, and all at home, are compared
-with all at home there, and links verified by cosine in double precision, so no link is
-lost. A shard has some 1,500 vectors; a proximity graph on so few took more time than to
-compare them all, and lost links.
+Vectors of one label are dealt to clusters, each to its nearest as its home and to the
+second nearest beside it. In each of these overlapping shards every vector gets a list of
+neighbours: of its nearest candidates those that no nearer one covers (robust pruning), filled
+up with the nearest left. The lists a vector got in its shards are united.
+
+Each shard then searches the united lists of all its vectors: from the medoids nearest
+to a query a beam goes greedily to the nearest vectors, then all neighbours of vectors in
+range are followed until none is new. Found pairs are verified by cosine in double
+precision. A vector is a query at its home, and also a guest of every cluster whose border is
+so near that a vector in range of it can be at home beyond (see reached()): so no border
+loses a link, and a link is missed only where a search misses it, which audit_recall() measures.
 
 How many clusters a vector is a guest of depends on the vectors: where they fill all
-dimensions alike it is nearly half of them, and the work grows as the square of a label's size.
+dimensions alike it is a quarter of them, and searches grow as the square of a label's size.
 
 Equal vectors are one point with a number of copies, so a very common vector is one
-point. A pair meets in one shard, so counts add up and no list of pairs leaves a task; a
+point. A pair counts in one shard, so counts add up and no list of pairs leaves a task; a
 shard passes on counts and a star of links for each of its components.
 """
 
@@ -22,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +36,18 @@ from evidentia.llm.components import components
 
 COSINE = 0.93
 #: Vectors at home in a shard, clusters of all labels and vectors to fit them on at most.
-SHARD, CLUSTERS, SAMPLE = 1500, 4096, 40_000
+SHARD, CLUSTERS, SAMPLE = 4096, 4096, 40_000
 #: Clusters of a label for each part that the guests of a shard come in.
 GUESTS = 16
-#: Queries compared at a time.
-BATCH = 512
+#: Candidates and neighbours of a vector in a shard; a nearer neighbour covers a candidate
+#: if ALPHA times their squared distance is at most the candidate's from the vector.
+CANDIDATES, DEGREE, ALPHA = 48, 24, 1.44
+#: Neighbours followed from a vector: its united lists, and vectors that list it.
+WIDTH = 64
+#: Medoids of a shard, vectors a search keeps in view, and how many it goes on from at a time.
+MEDOIDS, BEAM, STEP = 64, 48, 4
+#: Queries searched at a time, and vectors in range that are gone on from at a time.
+BATCH, SPREAD = 256, 16_384
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -84,7 +97,9 @@ def _fit(points: DataFrame, shard: int) -> dict[tuple, np.ndarray]:
     return out
 
 
-POINTS = "label string, dim int, shard int, part int, guest boolean, node long, copies long, embedding array<double>"
+#: What a row is in a shard: at home, a member as in its second nearest cluster, or a guest.
+HOME, SECOND, GUEST = 0, 1, 2
+POINTS = "label string, dim int, shard int, part int, kind int, node long, copies long, near array<long>, embedding array<double>"
 
 
 def reached(x: np.ndarray, c: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -100,67 +115,194 @@ def reached(x: np.ndarray, c: np.ndarray, cosine: float) -> tuple[np.ndarray, np
     return home, sims - sims[np.arange(len(x)), home][:, None] >= -sine * apart[home] - 1e-6
 
 
-def _deal(points: DataFrame, fitted: dict[tuple, np.ndarray], cosine: float) -> DataFrame:
-    """Every vector in its home shard, and as a guest where a partner can be at home.
+def _deal(points: DataFrame, fitted: dict[tuple, np.ndarray], cosine: float, guests: bool) -> DataFrame:
+    """Every vector in its home shard and its second nearest, and as a guest where a partner can be at home.
 
     One of two clusters sends its guests to the other, chosen so that each sends to half.
-    The guests of a shard come in parts, each with all that are at home there.
+    The guests of a shard come in parts, each with all its members.
     """
     held = points.sparkSession.sparkContext.broadcast(fitted)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pandas()
-            for (label, dim), own in rows.groupby(["label", "dim"]):
-                raw, nodes, copies = np.stack(own["embedding"].to_numpy()).astype(np.float64), own["node"].to_numpy(np.int64), own["copies"].to_numpy(np.int64)
+            for label, dim in {(g["label"], g["dim"]) for g in batch.select(["label", "dim"]).to_pylist()}:
+                own = pa.Table.from_batches([batch]).filter((pc.field("label") == label) & (pc.field("dim") == dim)).combine_chunks()
+                raw, nodes = matrix(own["embedding"]), own["node"].to_numpy()
                 c = held.value.get((label, dim))
                 c = np.zeros((1, dim)) if c is None else c
                 k = len(c)
-                parts, step = -(-k // GUESTS), max(1, (1 << 20) // k)
+                parts, step = -(-k // GUESTS) if guests else 1, max(1, (1 << 20) // k)
                 for i in range(0, len(raw), step):
                     home, reach = reached(unit(raw[i : i + step]), c, cosine)
-                    other = np.arange(k)[None, :]
-                    sends = (home[:, None] < other) != ((home[:, None] + other) % 2 == 1)
-                    row, shard = np.nonzero(reach & sends & (home[:, None] != other))
-                    at = np.arange(len(home))
-                    row, shard, part, guest = (
-                        np.concatenate([np.repeat(at, parts), row]), np.concatenate([np.repeat(home, parts), shard]),
-                        np.concatenate([np.tile(np.arange(parts), len(at)), mix64(nodes[i + row].view(np.uint64)) % np.uint64(parts)]).astype(np.int32), np.repeat([False, True], [len(at) * parts, len(row)]),
-                    )
+                    at, groups = np.arange(len(home)), [(np.arange(len(home)), home, HOME)]
+                    if k > 1:
+                        sims = unit(raw[i : i + step]) @ c.T
+                        sims[at, home] = -np.inf
+                        groups.append((at, np.argmax(sims, axis=1), SECOND))
+                    row = np.concatenate([np.repeat(r, parts) for r, _, _ in groups])
+                    shard = np.concatenate([np.repeat(to, parts) for _, to, _ in groups])
+                    kind = np.concatenate([np.full(len(r) * parts, kind) for r, _, kind in groups])
+                    part = np.tile(np.arange(parts), len(row) // parts)
+                    if guests:
+                        other = np.arange(k)[None, :]
+                        sends = (home[:, None] < other) != ((home[:, None] + other) % 2 == 1)
+                        r, to = np.nonzero(reach & sends & (home[:, None] != other))
+                        row, shard, kind = np.concatenate([row, r]), np.concatenate([shard, to]), np.concatenate([kind, np.full(len(r), GUEST)])
+                        part = np.concatenate([part, (mix64(nodes[i + r].astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)])
                     for j in range(0, len(row), 8192):
-                        r = i + row[j : j + 8192]
-                        n = len(r)
+                        r, some = pa.array(i + row[j : j + 8192]), kind[j : j + 8192]
+                        near = own["near"].combine_chunks().take(pa.array(i + row[j : j + 8192], mask=some == GUEST))
+                        n = len(some)
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array([label] * n, pa.string()), pa.array(np.full(n, dim, np.int32)), pa.array(shard[j : j + n].astype(np.int32)), pa.array(part[j : j + n]), pa.array(guest[j : j + n]),
-                                pa.array(nodes[r]), pa.array(copies[r]), as_list(raw[r].ravel(), np.full(n, dim), pa.float64()),
+                                pa.array([label] * n, pa.string()), pa.array(np.full(n, dim, np.int32)), pa.array(shard[j : j + n].astype(np.int32)), pa.array(part[j : j + n].astype(np.int32)),
+                                pa.array(some.astype(np.int32)), own["node"].combine_chunks().take(r), own["copies"].combine_chunks().take(r), near.cast(pa.list_(pa.int64())),
+                                as_list(raw[i + row[j : j + n]].ravel(), np.full(n, dim), pa.float64()),
                             ],
                             names=[c.split()[0] for c in POINTS.split(", ")],
                         )
 
-    return points.select("label", "dim", "node", "copies", "embedding").mapInArrow(deal, POINTS)
+    return points.select("label", "dim", "node", "copies", "near", "embedding").mapInArrow(deal, POINTS)
+
+
+LISTS = "label string, dim int, node long, near array<long>"
+
+
+def pruned(x: np.ndarray, sims: np.ndarray, near: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+    """The neighbours of each row of candidates (near, nearest first, at cosines sims): those
+    that no nearer neighbour covers, then the nearest of the rest."""
+    points = x[near]
+    between, own = 2 - 2 * points @ points.transpose(0, 2, 1), 2 - 2 * sims
+    open_, kept = np.ones(near.shape, bool), np.zeros(near.shape, bool)
+    for j in range(near.shape[1]):
+        kept[:, j] = open_[:, j] & (kept.sum(axis=1) < degree)
+        open_ &= ~(kept[:, j, None] & (alpha * between[:, j] <= own))
+    order = np.argsort(~kept, axis=1, kind="stable")[:, :degree]
+    return np.take_along_axis(near, order, axis=1)
+
+
+def _build(rows: pa.Table) -> pa.Table:
+    """The list of neighbours of every member of a shard."""
+    rows = rows.take(pa.array(np.argsort(rows["node"].to_numpy(), kind="stable")))
+    x, node = unit(matrix(rows["embedding"])).astype(np.float32), rows["node"].to_numpy()
+    n, out = len(x), []
+    c = min(CANDIDATES, n - 1)
+    for i in range(0, n if c else 0, BATCH):
+        sims = x[i : i + BATCH] @ x.T
+        at = np.arange(len(sims))[:, None]
+        sims[at[:, 0], i + at[:, 0]] = -np.inf
+        near = np.argpartition(-sims, c - 1, axis=1)[:, :c]
+        near = np.take_along_axis(near, np.argsort(-sims[at, near], axis=1, kind="stable"), axis=1)
+        out.append(node[pruned(x, sims[at, near], near)])
+    lists = np.concatenate(out) if out else np.zeros((n, 0), np.int64)
+    near = as_list(lists.ravel(), np.full(n, lists.shape[1]), pa.int64())
+    return pa.table({"label": rows["label"], "dim": rows["dim"], "node": rows["node"], "near": near})
 
 
 FOUND = "node long, n_links long, root long"
 
 
-def _scan(queries: np.ndarray, homes: np.ndarray, least: float) -> np.ndarray:
-    """(query, home) pairs with a cosine of `least` or more: all of them."""
-    out = [np.zeros((0, 2), np.int64)]
-    for i in range(0, len(queries), BATCH):
-        for j in range(0, len(homes), 4096):
-            out.append(np.argwhere(queries[i : i + BATCH] @ homes[j : j + 4096].T >= least) + [i, j])
-    return np.concatenate(out)
+def followed(x: np.ndarray, node: np.ndarray, near: pa.ListArray) -> np.ndarray:
+    """Places of the neighbours of each member, in WIDTH columns, -1 where there are fewer:
+    those of its united lists that are members here, then the nearest that list it."""
+    n, order = len(node), np.argsort(node, kind="stable")
+    to, at = np.asarray(near.flatten(), np.int64), np.repeat(np.arange(n), np.asarray(near.value_lengths().fill_null(0), np.int64))
+    place = order[np.minimum(np.searchsorted(node[order], to), n - 1)]
+    at, place = at[node[place] == to], place[node[place] == to]
+    key, first = np.unique(np.concatenate([at * n + place, place * n + at]), return_index=True)
+    u, v, back = key // n, key % n, first >= len(at)
+    sims = np.concatenate([np.zeros(0, np.float32), *[np.einsum("ij,ij->i", x[u[i : i + SPREAD]], x[v[i : i + SPREAD]]) for i in range(0, len(u), SPREAD)]])
+    by = np.lexsort((-sims, back, u))
+    u, v = u[by], v[by]
+    rank = np.arange(len(u)) - np.searchsorted(u, u)
+    out = np.full((n, WIDTH), -1, np.int64)
+    some = (rank < WIDTH) & (u != v)
+    out[u[some], rank[some]] = v[some]
+    return out
+
+
+def medoids(x: np.ndarray) -> np.ndarray:
+    """The members nearest to the centres of MEDOIDS clusters of evenly taken ones."""
+    c = centroids(x[:: max(1, len(x) // 4096)], MEDOIDS, rounds=3)
+    return np.unique(np.argmax(c @ x.T, axis=1))
+
+
+def searched(queries: np.ndarray, x: np.ndarray, lists: np.ndarray, starts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, member) of the pairs with a cosine of `least` or more that the search of some queries meets."""
+    b, n = len(queries), len(x)
+    seen, mark = np.zeros(b * n, bool), np.zeros(b * n, np.int32)
+    hits = [np.zeros(0, np.int64)]
+
+    def meet(row: np.ndarray, from_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, cosine) of neighbours not met before, each once, by row; those in range are hits."""
+        to = lists[from_]
+        key = (row[:, None] * n + to)[to >= 0]
+        key = key[~seen[key]]
+        mark[key] = np.arange(len(key), dtype=np.int32)
+        key = np.sort(key[mark[key] == np.arange(len(key))])
+        seen[key] = True
+        sims = np.concatenate([np.zeros(0, np.float32), *[np.einsum("ij,ij->i", queries[key[i : i + SPREAD] // n], x[key[i : i + SPREAD] % n]) for i in range(0, len(key), SPREAD)]])
+        hits.append(key[sims >= least])
+        return key, sims
+
+    view = queries @ x[starts].T
+    row, col = np.nonzero(view >= least)
+    hits.append(row * n + starts[col])
+    seen[(np.arange(b)[:, None] * n + starts).ravel()] = True
+    size = min(BEAM, len(starts))
+    top = np.argpartition(-view, size - 1, axis=1)[:, :size]
+    ids, near, live = starts[top], np.take_along_axis(view, top, axis=1), np.arange(b)
+    done, gone = np.zeros(ids.shape, bool), [np.zeros(0, np.int64)]
+    while len(live):
+        open_ = np.where(done, -np.inf, near)
+        pick = np.argsort(-open_, axis=1, kind="stable")[:, :STEP]
+        fine = np.take_along_axis(open_, pick, axis=1) > -np.inf
+        going = fine.any(axis=1)
+        live, ids, near, done, pick, fine = live[going], ids[going], near[going], done[going], pick[going], fine[going]
+        if not len(live):
+            break
+        r, c = np.nonzero(fine)
+        c = pick[r, c]
+        done[r, c] = True
+        gone.append(live[r] * n + ids[r, c])
+        key, sims = meet(live[r], ids[r, c])
+        at = np.searchsorted(live, key // n)
+        rank = np.arange(len(key)) - np.searchsorted(at, at)
+        wide = int(rank.max()) + 1 if len(rank) else 0
+        new_ids, new_near = np.zeros((len(live), wide), np.int64), np.full((len(live), wide), -np.inf, np.float32)
+        new_ids[at, rank], new_near[at, rank] = key % n, sims
+        ids, near, done = np.hstack([ids, new_ids]), np.hstack([near, new_near]), np.hstack([done, np.zeros(new_ids.shape, bool)])
+        if ids.shape[1] > BEAM:
+            top = np.argpartition(-near, BEAM - 1, axis=1)[:, :BEAM]
+            ids, near, done = (np.take_along_axis(a, top, axis=1) for a in (ids, near, done))
+    # all in range that the beam hasn't gone on from
+    todo = np.setdiff1d(np.concatenate(hits), np.concatenate(gone))
+    while len(todo):
+        before = len(hits)
+        for i in range(0, len(todo), SPREAD):
+            meet(todo[i : i + SPREAD] // n, todo[i : i + SPREAD] % n)
+        todo = np.concatenate(hits[before:])
+    found = np.concatenate(hits)
+    return found // n, found % n
 
 
 def _links(least: float):
     def find(rows: pa.Table) -> pa.Table:
-        order = np.lexsort((rows["node"].to_numpy(), rows["guest"].to_numpy()))
+        order = np.lexsort((rows["node"].to_numpy(), rows["kind"].to_numpy()))
         rows = rows.take(pa.array(order))
-        node, raw, copies, n = rows["node"].to_numpy(), matrix(rows["embedding"]), rows["copies"].to_numpy(), len(rows)
-        x, homes = unit(raw), int(n - np.count_nonzero(rows["guest"].to_numpy()))
-        first = 0 if rows["part"][0].as_py() == 0 else homes  # those at home meet each other in one part only
-        pairs = _scan(x[first:], x[:homes], least - 1e-9) + [first, 0]
+        kind, node, raw, copies, n = rows["kind"].to_numpy(), rows["node"].to_numpy(), matrix(rows["embedding"]), rows["copies"].to_numpy(), len(rows)
+        homes, members = int(np.searchsorted(kind, SECOND)), int(np.searchsorted(kind, GUEST))
+        asked = np.arange(0 if rows["part"][0].as_py() == 0 else members, n)  # those at home ask in one part only
+        asked = asked[(asked < homes) | (asked >= members)]
+        pairs = [np.zeros((0, 2), np.int64)]
+        if homes and len(asked):
+            x = unit(raw).astype(np.float32)
+            own = x[:members]
+            lists, starts = followed(own, node[:members], rows["near"].combine_chunks()[:members]), medoids(own)
+            for i in range(0, len(asked), BATCH):
+                q, m = searched(x[asked[i : i + BATCH]], own, lists, starts, least - 1e-5)
+                pairs.append(np.stack([asked[i + q], m], axis=1)[m < homes])
+        pairs = np.concatenate(pairs)
         lo, hi = pairs.min(axis=1), pairs.max(axis=1)
         key = np.unique((lo * n + hi)[lo != hi])
         lo, hi = key // n, key % n
@@ -194,7 +336,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, shard: in
     Rows link when labels are equal and not null and the cosine is `cosine` or more. A
     vector that is null, zero or holds null or non-finite components, or has no label,
     links with nothing; so do vectors of different lengths. Equal vectors link with
-    each other. All links are found; audit_recall() checks it. An empty table gives no
+    each other. A search may miss links, never invent one; audit_recall() tells how many. An empty table gives no
     rows; other columns are ignored. A null vec_id takes
     part, but can't be a component's id unless it is alone.
     """
@@ -205,7 +347,11 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, shard: in
     )
     points = written(points, "points")
     linkable = points.where("node is not null")
-    dealt = _deal(linkable, _fit(linkable, shard), cosine)
+    fitted = _fit(linkable, shard)
+    members = _deal(linkable.withColumn("near", F.lit(None).cast("array<long>")), fitted, cosine, guests=False)
+    lists = members.groupBy("label", "dim", "shard").applyInArrow(_build, LISTS)
+    lists = written(lists.groupBy("label", "dim", "node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "neighbours")
+    dealt = _deal(linkable.join(lists, ["label", "dim", "node"], "left"), fitted, cosine, guests=True)
     found = written(dealt.groupBy("label", "dim", "shard", "part").applyInArrow(_links(cosine), FOUND), "vector-links")
     counts = found.groupBy("node").agg(F.sum("n_links").alias("other"))
     classes = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
