@@ -1,6 +1,7 @@
 """The embedding graph against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,32 @@ def test_edges(spark):
     assert eg.near_duplicate_vectors(df.limit(0)).count() == 0
     twice = {(r.vec_id, r.n_links) for r in eg.near_duplicate_vectors(df.where("vec_id = 3").unionAll(df.where("vec_id = 3"))).collect()}
     assert twice == {(3, 1)}
+
+
+def test_robust_pruning_equals_plain_loops():
+    rng = np.random.default_rng(2)
+    x = eg.unit(rng.normal(size=(5, 6))[rng.integers(5, size=80)] + 0.3 * rng.normal(size=(80, 6)))
+    sims = x @ x.T
+    np.fill_diagonal(sims, -np.inf)
+    near = np.argsort(-sims, axis=1)[:, :30]
+    got = eg.pruned(x, np.take_along_axis(sims, near, axis=1), near, degree=8, alpha=1.44)
+    for i in range(len(x)):
+        kept = []
+        for c in near[i]:
+            if len(kept) < 8 and not any(1.44 * (2 - 2 * x[k] @ x[c]) <= 2 - 2 * sims[i, c] for k in kept):
+                kept.append(c)
+        assert 0 < len(kept) <= 8 and got[i].tolist() == (kept + [c for c in near[i] if c not in kept])[:8]
+
+
+def test_search_follows_lists_beyond_the_beam():
+    """A dense crowd larger than the beam is found whole from medoids, over its lists; without lists only medoids are met."""
+    rng = np.random.default_rng(3)
+    x = eg.unit(np.concatenate([rng.normal(size=(700, 16)), rng.normal(size=16) + 0.03 * rng.normal(size=(300, 16))])).astype(np.float32)
+    built = eg._build(pa.table({"label": ["a"] * 1000, "dim": [16] * 1000, "node": np.arange(1000), "embedding": eg.as_list(x.ravel().astype(float), np.full(1000, 16), pa.float64())}))
+    lists = eg.followed(x, np.arange(1000), built["near"].combine_chunks())
+    row, to = eg.searched(x[900:], x, lists, eg.medoids(x), 0.93)
+    want = x[900:] @ x.T >= 0.93
+    assert len(row) == len(set(zip(row.tolist(), to.tolist(), strict=True))) and (x[900 + row] * x[to]).sum(axis=1).min() > 0.9299
+    assert want.sum() > 100 * eg.BEAM and len(row) >= 0.999 * want.sum()
+    row, to = eg.searched(x[900:], x, np.full_like(lists, -1), eg.medoids(x), 0.93)
+    assert len(row) < 0.5 * want.sum()
