@@ -8,6 +8,7 @@ from evidentia.llm.language_id import op6_language_id
 from evidentia.llm.language_model import op9_language_model
 from evidentia.llm.line_dedup import op10_line_dedup
 from evidentia.llm.minhash import op4_minhash
+from evidentia.llm.mixing import OP13_SQL, op13_mixing
 from evidentia.llm.packing import op2_packing
 from evidentia.llm.token_counts import op1_token_counts
 from evidentia.llm.token_files import op3_token_files
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_embedding_graph": op8_embedding_graph,
     "op9_language_model": op9_language_model,
     "op10_line_dedup": op10_line_dedup,
+    "op13_mixing": op13_mixing,
 }
-ORACLE_SQL = {"op5_url_filter": OP5_SQL}
+ORACLE_SQL = {"op5_url_filter": OP5_SQL, "op13_mixing": OP13_SQL}
