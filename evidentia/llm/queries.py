@@ -6,6 +6,7 @@ from evidentia.llm.decontaminate import op7_decontaminate
 from evidentia.llm.embedding_graph import op8_embedding_graph
 from evidentia.llm.language_id import op6_language_id
 from evidentia.llm.language_model import op9_language_model
+from evidentia.llm.lexical_search import OP12_SQL, op12_lexical_search
 from evidentia.llm.line_dedup import op10_line_dedup
 from evidentia.llm.minhash import op4_minhash
 from evidentia.llm.mixing import OP13_SQL, op13_mixing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_embedding_graph": op8_embedding_graph,
     "op9_language_model": op9_language_model,
     "op10_line_dedup": op10_line_dedup,
+    "op12_lexical_search": op12_lexical_search,
     "op13_mixing": op13_mixing,
 }
-ORACLE_SQL = {"op5_url_filter": OP5_SQL, "op13_mixing": OP13_SQL}
+ORACLE_SQL = {"op5_url_filter": OP5_SQL, "op12_lexical_search": OP12_SQL, "op13_mixing": OP13_SQL}
