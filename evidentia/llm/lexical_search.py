@@ -139,6 +139,8 @@ class Searcher:
 
     def window(self, docs: np.ndarray, n: np.ndarray, term: np.ndarray, slot: np.ndarray, times: np.ndarray) -> None:
         """One window: docs and n by slot, and its postings, term by term."""
+        if not len(term):
+            return
         m = self.lengths(n)
         order = np.argsort(term, kind="stable")
         term, slot, times = term[order], slot[order], times[order]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evidentia.llm.conversations import op11_conversation_repair
 from evidentia.llm.decontaminate import op7_decontaminate
 from evidentia.llm.embedding_graph import op8_embedding_graph
 from evidentia.llm.language_id import op6_language_id
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_embedding_graph": op8_embedding_graph,
     "op9_language_model": op9_language_model,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_lexical_search": op12_lexical_search,
     "op13_mixing": op13_mixing,
 }
