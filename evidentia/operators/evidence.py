@@ -132,6 +132,18 @@ def merge_found(found: DataFrame) -> DataFrame:
     return first.withColumn("at", F.col("all")[0]).select("stmt_id", "pubmed_id", (F.row_number().over(w) - 1).alias("ord"), F.transform(F.slice("all", 2, 1 << 20), lambda s: s["query"]).alias("queries"))
 
 
+def found_again(evidence: DataFrame, found: DataFrame) -> DataFrame:
+    """(stmt_id, ord, queries) of evidence (stmt_id, ord, pubmed_id, queries) that finds (see
+    merge_found) found again: its queries, and after them those of the finds that it doesn't have
+    yet, each once whatever its case, in order of query and place. Of equal ids in a statement the
+    first in order counts."""
+    first = evidence.where("pubmed_id is not null").groupBy("stmt_id", "pubmed_id").agg(F.min(F.struct("ord", F.coalesce("queries", F.array().cast("array<string>")).alias("queries"))).alias("own"))
+    one = found.groupBy("stmt_id", "pubmed_id", F.lower("query").alias("low")).agg(F.min(F.struct("query_ord", "rank", "query")).alias("at"))
+    more = one.groupBy("stmt_id", "pubmed_id").agg(F.transform(F.array_sort(F.collect_list("at")), lambda s: s["query"]).alias("more"))
+    had = F.transform(F.col("own.queries"), F.lower)
+    return first.join(more, ["stmt_id", "pubmed_id"]).select("stmt_id", F.col("own.ord").alias("ord"), F.concat("own.queries", F.filter("more", lambda q: ~F.array_contains(had, F.lower(q)))).alias("queries"))
+
+
 def attach_details(evidence: DataFrame, details: DataFrame) -> DataFrame:
     """Details by pubmed_id; unknown ids change nothing."""
     return evidence.join(details, "pubmed_id", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,19 +12,22 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as T
 
 
+def _checked(temperature: float, max_tokens: int | None, context: int | None) -> None:
+    if temperature < 0:
+        raise ValueError("temperature is under 0")
+    for name, n in (("max_tokens", max_tokens), ("context", context)):
+        if n is not None and n <= 0:
+            raise ValueError(f"{name} isn't over 0")
+
+
 def replies(call: Callable[..., str], model: str, temperature: float = 0.0, max_tokens: int | None = None, stop: list[str] | None = None, context: int | None = None) -> Callable[[Column], Column]:
     """A function from prompts to replies without space around them, for a step's settings.
 
     call takes prompt, model, temperature, max_tokens, stop and context by name. Raises on a
     temperature under 0, on max_tokens or context that isn't over 0. A call that fails gives
-    null, on which each step falls back as it says. Write a step's table before it is read
-    twice: replies need not repeat.
+    null, on which each step falls back as it says. counted_replies() has the usage too.
     """
-    if temperature < 0:
-        raise ValueError("temperature is under 0")
-    for name, n in (("max_tokens", max_tokens), ("context", context)):
-        if n is not None and n <= 0:
-            raise ValueError(f"{name} isn't over 0")
+    _checked(temperature, max_tokens, context)
     given = {k: v for k, v in (("max_tokens", max_tokens), ("stop", stop), ("context", context)) if v is not None}
 
     @F.pandas_udf("string")
@@ -40,6 +44,35 @@ def replies(call: Callable[..., str], model: str, temperature: float = 0.0, max_
     return ask.asNondeterministic()
 
 
+ANSWER = "text string, call_id string, prompt_tokens long, completion_tokens long, total_tokens long, error string"
+
+
+def counted_replies(call: Callable[..., tuple[str, dict[str, int]]], model: str, temperature: float = 0.0, max_tokens: int | None = None, stop: list[str] | None = None, context: int | None = None) -> Callable[[Column], Column]:
+    """As replies(), of a call that gives (reply, usage) with counts prompt, completion and total:
+    structs of text, call_id (new for each call), the counts and, of a call that fails, the error.
+    """
+    _checked(temperature, max_tokens, context)
+    given = {k: v for k, v in (("max_tokens", max_tokens), ("stop", stop), ("context", context)) if v is not None}
+    names = [f.split()[0] for f in ANSWER.split(", ")]
+
+    @F.pandas_udf(ANSWER)
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def one(prompt: str | None) -> tuple:
+            if prompt is None:
+                return (None,) * len(names)
+            call_id = uuid.uuid4().hex
+            try:
+                text, usage = call(prompt=prompt, model=model, temperature=temperature, **given)
+                return text.strip(), call_id, usage.get("prompt"), usage.get("completion"), usage.get("total"), None
+            except Exception as e:  # noqa: BLE001  a failed call is a null reply
+                return None, call_id, None, None, None, f"{type(e).__name__}: {e}"
+
+        for prompts in batches:
+            yield pd.DataFrame([one(p) for p in prompts], columns=names).astype({n: "Int64" for n in names if n.endswith("tokens")})
+
+    return ask.asNondeterministic()
+
+
 def embeddings(encode: Callable[[list[str]], list[list[float]]], batch: int = 16) -> Callable[[Column], Column]:
     """A function from texts to unit vectors, `batch` texts at a time; a null text has none."""
 

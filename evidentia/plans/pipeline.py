@@ -5,7 +5,7 @@ from __future__ import annotations
 import copy
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.operators import evidence as E
+from evidentia.plans.barrier import Barrier, answered
 
 Step = Callable[["State", dict], "State"]
 _steps: dict[str, Step] = {}
@@ -20,11 +21,18 @@ _steps: dict[str, Step] = {}
 
 @dataclass
 class State:
-    """The tables of a run and its log; session is needed only where no table is there yet."""
+    """The tables of a run and its log; session is needed only where no table is there yet.
+
+    barrier holds what models answered (see barrier.py): give one with a name for the run to
+    go on with a run that stopped. observer hears of events, as (kind, values).
+    """
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
     log: list[dict[str, Any]] = field(default_factory=list)
     session: SparkSession | None = None
+    barrier: Barrier = field(default_factory=Barrier)
+    observer: Callable[[str, dict], None] | None = None
+    counted: tuple[int | None, dict[str, int] | None] = (None, None)
 
     @property
     def spark(self) -> SparkSession:
@@ -33,7 +41,11 @@ class State:
         return self.session or SparkSession.active()
 
     def with_table(self, name: str, df: DataFrame) -> State:
-        return State({**self.tables, name: df}, self.log, self.session)
+        return replace(self, tables={**self.tables, name: df})
+
+    def tell(self, kind: str, values: dict) -> None:
+        if self.observer:
+            self.observer(kind, values)
 
 
 def step(name: str) -> Callable[[Step], Step]:
@@ -60,32 +72,45 @@ def evidence_counts(state: State) -> tuple[int, dict[str, int]]:
     return sum(r["count"] for r in rows), {r["s"]: r["count"] for r in rows}
 
 
-def run(config: dict, state: State, depth: int = 0, counts: bool = False, observer: Callable[[str, dict], None] | None = None) -> State:
+def run(config: dict, state: State, depth: int = 0, counts: bool = False, observer: Callable[[str, dict], None] | None = None, place: str = "") -> State:
     """The steps in turn. A module is a sequence one level further in, and hands its debug
-    setting to its steps. counts has each step's plan run to count evidence before and
-    after; without it durations are those of planning. observer hears of each start and end.
+    setting to its steps. Steps that ask models do so as they are reached, once for each
+    prompt; their tokens are in the log. counts has evidence written after each step that
+    changed it, counted from there; without it what isn't a model's stays a plan, so
+    durations are those of planning and of models. observer hears of run_start, start,
+    artifact (the calls of a model), end and run_end.
     """
+    begun = time.time()
     if not depth:
         check(config)
-    for s in config["steps"]:
-        settings, start = s.get("settings", {}), time.time()
+        state = replace(state, observer=observer or state.observer)
+        state.tell("run_start", {"step": config.get("name"), "run": state.barrier.run})
+    before = evidence_counts(state) if counts else (None, None)
+    for n, s in enumerate(config["steps"], 1):
+        settings, start, at = s.get("settings", {}), time.time(), f"{place}{n}"
         module = s["type"] == "module"
         name = settings.get("name", s["type"])
-        if observer:
-            observer("start", {"step": name, "indent": depth})
-        before = evidence_counts(state) if counts else (None, None)
+        state.tell("start", {"step": name, "indent": depth})
+        old, asked = state.tables.get("evidence"), len(state.barrier.written)
         if module:
             inner = {**settings, "steps": [{**x, "settings": {**x.get("settings", {}), "debug": settings.get("debug", False)}} for x in settings["steps"]]}
-            state = run(inner, state, depth + 1, counts, observer)
+            state = run(inner, state, depth + 1, counts, place=f"{at}.")
         else:
+            state.barrier.enter(at, s["type"], settings)
             state = _steps[s["type"]](state, settings)
-        after = evidence_counts(state) if counts else (None, None)
+            if counts and state.tables.get("evidence") is not old:
+                state = state.with_table("evidence", state.barrier.table(state.tables["evidence"]))
+        changed = state.tables.get("evidence") is not old
+        after = evidence_counts(state) if counts and changed and not module else state.counted if counts and module else before
         state.log.append({
-            "step": name, "duration": time.time() - start, "tokens": 0, "indent": depth, "is_module": module,
+            "step": name, "duration": time.time() - start, "tokens": 0 if module else sum(x.get("tokens", 0) for x in state.barrier.written[asked:]), "indent": depth, "is_module": module,
             "evidence_total_before": before[0], "evidence_total_after": after[0], "before": before[1], "after": after[1],
         })
-        if observer:
-            observer("end", state.log[-1])
+        before = after
+        state.tell("end", state.log[-1])
+    state = replace(state, counted=before)
+    if not depth:
+        state.tell("run_end", {"step": config.get("name"), "run": state.barrier.run, "duration": time.time() - begun})
     return state
 
 
@@ -165,9 +190,10 @@ def _statements(state: State, settings: dict) -> State:
 
 @step("extract_statements")
 def _extract(state: State, settings: dict) -> State:
-    reply = settings.get("reply", lambda c: F.lit(None).cast("string"))
-    runs = state.tables["runs"]
-    claims = runs.select("run_id", F.posexplode(T.claims_of_reply(reply(F.col("transcript")), F.col("transcript"))).alias("n", "text"))
+    runs = state.tables["runs"].withColumn("answer", F.lit(None).cast("string"))
+    if "reply" in settings:
+        runs = answered(state, state.tables["runs"], settings["reply"], "text", prompt=F.col("transcript"))
+    claims = runs.select("run_id", F.posexplode(T.claims_of_reply(F.col("answer"), F.col("transcript"))).alias("n", "text"))
     return state.with_table("statements", claims.select("run_id", (F.col("n") + 1).alias("stmt_id"), "text"))
 
 
@@ -181,10 +207,17 @@ def _weight(state: State, settings: dict) -> State:
 @step("rerank")
 def _rerank(state: State, settings: dict) -> State:
     """relevance by a scorer of (claim, passage) columns; by default the share of the claim's words in the passage."""
-    score = settings.get("scorer", lexical)
     e = state.tables["evidence"].join(state.tables["statements"].select("stmt_id", F.col("text").alias("claim")), "stmt_id")
-    e = e.withColumn("relevance", score(F.col("claim"), F.concat_ws("\n\n", "title", "abstract"))).drop("claim")
-    return state.with_table("evidence", E.min_relevance(e, settings.get("min_relevance", 0.7)))
+    e = scores(state, e, settings, F.concat_ws("\n\n", "title", "abstract"), lexical)
+    return state.with_table("evidence", E.min_relevance(e.withColumn("relevance", F.col("answer")).drop("claim", "answer"), settings.get("min_relevance", 0.7)))
+
+
+def scores(state: State, rows: DataFrame, settings: dict, passage, default: Callable, value: str = "score") -> DataFrame:
+    """rows (with claim) with answer: a scorer's, called once for each row whose passage isn't null, or the default's."""
+    if "scorer" not in settings:
+        return rows.withColumn("passage_", passage).withColumn("answer", F.when(F.col("passage_").isNotNull(), default(F.col("claim"), F.col("passage_")))).drop("passage_")
+    held = answered(state, rows, lambda p, c: settings["scorer"](c, p), value, passage=passage, claim=F.col("claim"))
+    return held.drop("call_id", "prompt_tokens", "completion_tokens", "total_tokens", "error")
 
 
 def lexical(claim, passage):

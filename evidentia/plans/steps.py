@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as T
 from evidentia.functions.vectors import round2
 from evidentia.operators import evidence as E
-from evidentia.plans.pipeline import State, lexical, step
+from evidentia.plans.barrier import answered
+from evidentia.plans.pipeline import State, lexical, scores, step
 from evidentia.sources.index import index_rows
 from evidentia.sources.readers import found_ids
 
@@ -41,17 +42,20 @@ def claims_of(state: State) -> DataFrame:
     return state.tables["statements"].select(*KEYS, F.col("text").alias("claim"))
 
 
-def null_reply(prompt: Column) -> Column:
-    return F.lit(None).cast("string")
+def replied(state: State, rows: DataFrame, settings: dict, prompt: Column) -> DataFrame:
+    """rows with answer, the model's reply to each prompt, asked once; null without a model."""
+    if "reply" not in settings:
+        return rows.withColumn("answer", F.lit(None).cast("string"))
+    return answered(state, rows, settings["reply"], "text", prompt=prompt).drop("call_id", "prompt_tokens", "completion_tokens", "total_tokens", "error")
 
 
 @step("extraction")
 def extraction(state: State, settings: dict) -> State:
     """Claims of a transcript from a model's reply; without one, its first sentences."""
     template = settings.get("prompt_template", "{transcript}")
-    runs = state.tables["runs"]
-    reply = settings.get("reply", null_reply)(T.filled(template, transcript=F.col("transcript")))
-    claims = runs.where(F.trim(F.coalesce("transcript", F.lit(""))) != "").select("run_id", F.posexplode(T.claims_of_reply(reply, F.col("transcript"))).alias("n", "text"))
+    runs = state.tables["runs"].where(F.trim(F.coalesce("transcript", F.lit(""))) != "")
+    runs = replied(state, runs, settings, T.filled(template, transcript=F.col("transcript")))
+    claims = runs.select("run_id", F.posexplode(T.claims_of_reply(F.col("answer"), F.col("transcript"))).alias("n", "text"))
     return state.with_table("statements", claims.select("run_id", (F.col("n") + 1).alias("stmt_id"), "text"))
 
 
@@ -60,9 +64,8 @@ def generate_query(state: State, settings: dict) -> State:
     """One more query for each claim, unless it has it whatever its case: the reply made
     valid, else the claim's first words. Steps can follow each other, one for each strategy."""
     template = settings.get("prompt_template", "{claim}")
-    rows = claims_of(state)
-    raw = settings.get("reply", null_reply)(T.filled(template, claim=F.col("claim")))
-    rows = rows.withColumn("clean", T.clean_query(F.translate(raw, "\n", " ")))
+    rows = replied(state, claims_of(state), settings, T.filled(template, claim=F.col("claim")))
+    rows = rows.withColumn("clean", T.clean_query(F.translate("answer", "\n", " ")))
     new = rows.select(*KEYS, F.coalesce("clean", T.fallback_query(F.col("claim"))).alias("query"), F.when(F.col("clean").isNull(), "fallback").otherwise("llm").alias("origin"))
     new = new.where((F.col("query") != "") | (F.col("origin") == "fallback"))
     old = state.tables.get("queries")
@@ -82,10 +85,24 @@ def fetch_links(state: State, settings: dict) -> State:
     replies = settings["search"](queries) if "search" in settings else settings["replies"]
     ids = queries.join(replies.select("query", "body"), "query").select(*KEYS, F.col("ord").alias("query_ord"), "query", F.posexplode(found_ids(F.col("body"))).alias("rank", "pubmed_id"))
     ids = ids.where(F.col("rank") < settings.get("retmax", 5)).withColumn("stmt_id", F.struct(*KEYS))
-    found = E.merge_found(ids).select("stmt_id.*", "ord", "pubmed_id", "queries", T.article_url(F.col("pubmed_id")).alias("url"), F.lit("PubMed").alias("source_type"), F.lit(0.15).alias("weight"))
+    found = E.merge_found(ids)
+    if "evidence" not in state.tables:
+        new = found.select("stmt_id.*", "ord", "pubmed_id", "queries", *_article_columns())
+        return state.with_table("evidence", completed(new))
+    # evidence that is there already takes on the queries that found it; the rest comes after it
     old = evidence_of(state)
-    new = completed(found.join(old.select(*KEYS, "pubmed_id").distinct(), [*KEYS, "pubmed_id"], "left_anti")) if "evidence" in state.tables else completed(found)
-    return state.with_table("evidence", old.unionByName(new) if "evidence" in state.tables else new)
+    again = E.found_again(old.withColumn("stmt_id", F.struct(*KEYS)).select("stmt_id", "ord", "pubmed_id", "queries"), ids)
+    again = again.select("stmt_id.*", F.col("ord"), F.col("queries").alias("more"))
+    old_rows = old.join(again, [*KEYS, "ord"], "left").withColumn("queries", F.coalesce("more", "queries")).drop("more").select(*old.columns)
+    held = old.groupBy(*KEYS).agg((F.max("ord") + 1).alias("held"))
+    new = found.select("stmt_id.*", "ord", "pubmed_id", "queries", *_article_columns()).join(old.select(*KEYS, "pubmed_id").where("pubmed_id is not null").distinct(), [*KEYS, "pubmed_id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy("ord")) - 1
+    new = new.withColumn("place", place).join(held, KEYS, "left").withColumn("ord", (F.coalesce("held", F.lit(0)) + F.col("place")).cast("int")).drop("place", "held")
+    return state.with_table("evidence", old_rows.unionByName(completed(new).select(*old.columns)))
+
+
+def _article_columns() -> list[Column]:
+    return [T.article_url(F.col("pubmed_id")).alias("url"), F.lit("PubMed").alias("source_type"), F.lit(0.15).alias("weight")]
 
 
 @step("abstract_evidence")
@@ -108,7 +125,8 @@ def retrieve(state: State, settings: dict) -> State:
     """The passages of an index nearest to each claim, after the evidence that it has. settings
     have documents and chunks, and embed, a function from a text column to vectors."""
     rows = index_rows(settings["documents"], settings["chunks"])
-    claims = claims_of(state).where(F.trim("claim") != "").select(F.concat_ws(":", *KEYS).alias("claim_id"), settings["embed"](F.col("claim")).alias("claim_vec"))
+    asked = answered(state, claims_of(state).where(F.trim("claim") != ""), settings["embed"], "vector", claim=F.col("claim"))
+    claims = asked.select(F.concat_ws(":", *KEYS).alias("claim_id"), F.col("answer").alias("claim_vec"))
     top = E.top_similar(claims, rows.select("chunk_id", F.col("embedding").alias("chunk_vec")), settings.get("top_k", 5), settings.get("min_score", 0.25))
     at = F.split("claim_id", ":")
     old = evidence_of(state)
@@ -128,12 +146,12 @@ def rerank_evidence(state: State, settings: dict) -> State:
     share of the claim's words in it. Evidence without a passage has empty_relevance unless
     it has one. What is under min_relevance goes, but not from a claim that is blank or has no
     passage at all."""
-    score = settings.get("scorer", lexical)
-    e = evidence_of(state).drop("relevance_abstract").join(claims_of(state), KEYS, "left")
-    body = T.passage(F.col("title"), F.col("abstract"))
+    e = evidence_of(state).join(claims_of(state), KEYS, "left")
     judged = F.trim(F.coalesce("claim", F.lit(""))) != ""
-    e = e.withColumn("passage", F.when(judged, body))
-    e = e.withColumn("relevance_abstract", F.when(F.col("passage").isNotNull(), round2(score(F.col("claim"), F.col("passage")))))
+    e = e.withColumn("passage", F.when(judged, T.passage(F.col("title"), F.col("abstract"))))
+    e = scores(state, e, settings, F.col("passage"), lexical)
+    # a blank claim's evidence isn't judged: it keeps what it has
+    e = e.withColumn("relevance_abstract", F.when(judged, round2(F.col("answer"))).otherwise(F.col("relevance_abstract"))).drop("answer")
     some = F.max(F.col("passage").isNotNull()).over(Window.partitionBy(*KEYS))
     empty = F.lit(float(settings.get("empty_relevance", 0.0)))
     bare = F.coalesce(F.trim("abstract"), F.lit("")) == ""
@@ -145,17 +163,24 @@ def rerank_evidence(state: State, settings: dict) -> State:
 
 @step("stance_evidence")
 def stance_evidence(state: State, settings: dict) -> State:
-    """Stance of the top_m most relevant passages of each claim (of all without top_m) by a
-    scorer of (claim, passage) that gives shares of support, neutrality and refutation. By
-    default a passage supports by the share of the claim's words in it, which is no model."""
-    scorer = settings.get("scorer", lambda c, p: F.array(lexical(c, p), 1 - lexical(c, p), F.lit(0.0)))
-    e = E.top_by_relevance(evidence_of(state), settings.get("top_m") or 1 << 30).join(claims_of(state), KEYS, "left")
-    asked = F.col("chosen") & (F.trim(F.coalesce("claim", F.lit(""))) != "")
-    e = e.withColumn("p", F.when(asked, scorer(F.col("claim"), T.passage(F.col("title"), F.col("abstract")))))
+    """Stance of the most relevant passages of each claim by a scorer of (claim, passage) that
+    gives shares of support, neutrality and refutation. top_m_by_relevance says how many of a claim's are
+    judged (all without it, or where it isn't over 0). A passage is the first of
+    evidence_fields that makes one, with the title; fields that are neither abstract nor text
+    don't count. By default a passage supports by the share of the claim's words in it, which is
+    no model."""
+    scorer = lambda c, p: F.array(lexical(c, p), 1 - lexical(c, p), F.lit(0.0))
+    m = settings.get("top_m_by_relevance", settings.get("top_m"))
+    m = m if isinstance(m, int) and m > 0 else 1 << 30
+    e = E.top_by_relevance(evidence_of(state), m).join(claims_of(state), KEYS, "left")
+    fields = [f for f in ("abstract", "text") if f in settings.get("evidence_fields", ("abstract", "text"))] or ["abstract", "text"]
+    body = F.coalesce(*[T.passage(F.col("title"), F.col(f) if f in e.columns else F.lit(None).cast("string")) for f in fields])
+    judged = F.col("chosen") & (F.trim(F.coalesce("claim", F.lit(""))) != "")
+    e = scores(state, e, settings, F.when(judged, body), scorer, "shares").withColumnRenamed("answer", "p")
     share = lambda i: round2(F.get("p", i))
     label = T.stance_label(share(0), share(2), settings.get("threshold_decisive", settings.get("threshold", 0.0)))
     new = {"p_supports": share(0), "p_neutral": share(1), "p_refutes": share(2), "stance": F.when(F.get("p", 0).isNotNull(), label)}
-    return state.with_table("evidence", e.withColumns({c: F.when(asked, x).otherwise(F.col(c)) for c, x in new.items()}).drop("p", "claim", "chosen", "rank"))
+    return state.with_table("evidence", e.withColumns({c: F.when(judged, x).otherwise(F.col(c)) for c, x in new.items()}).drop("p", "claim", "chosen", "rank"))
 
 
 def line_of(include_text: bool = True, missing: str | None = "text: [no content]") -> Column:
@@ -169,9 +194,10 @@ def filter_evidence(state: State, settings: dict) -> State:
     reply drops it. By default any word of the claim in the text is a yes."""
     e = evidence_of(state).join(claims_of(state), KEYS, "left")
     prompt = T.filled(settings.get("prompt_template", "{statement}\n{evidence}"), statement=F.col("claim"), evidence=line_of(missing=None))
-    reply = settings["reply"](prompt) if "reply" in settings else F.when(lexical(F.col("claim"), F.col("abstract")) > 0, "yes").otherwise("no")
     blank = F.trim(F.coalesce("abstract", F.lit(""))) == ""
-    return state.with_table("evidence", e.where(blank | F.coalesce(reply.startswith("yes"), F.lit(False))).drop("claim"))
+    e = replied(state, e, settings, F.when(~blank, prompt))
+    reply = F.col("answer") if "reply" in settings else F.when(lexical(F.col("claim"), F.col("abstract")) > 0, "yes").otherwise("no")
+    return state.with_table("evidence", e.where(blank | F.coalesce(reply.startswith("yes"), F.lit(False))).drop("claim", "answer"))
 
 
 BLOCKS = (("PUBMED EVIDENCE:", "PubMed"), ("EPISTEMONIKOS EVIDENCE:", "Epistemonikos"), ("RAG EVIDENCE:", "RAG"))
@@ -200,7 +226,7 @@ def truthness(state: State, settings: dict) -> State:
         runs = state.tables.get("runs")
         rows = rows.join(runs.select("run_id", "transcript"), "run_id", "left") if runs is not None else rows.withColumn("transcript", F.lit(""))
         prompt = T.filled(settings.get("prompt_template", "{claim_text}\n{evidence_block}"), claim_text=F.col("claim"), evidence_block=F.col("block"), rag_chunks=F.col("rag"), transcript=F.col("transcript"))
-        rows = rows.withColumn("reply", settings["reply"](prompt)).withColumn("v", T.verdict_of_reply(F.col("reply")))
+        rows = replied(state, rows, settings, prompt).withColumnRenamed("answer", "reply").withColumn("v", T.verdict_of_reply(F.col("reply")))
         failed = F.col("reply").isNull()
         judged = rows.select(*KEYS, F.when(failed, "error").otherwise(F.col("v.verdict")).alias("verdict"), F.when(failed, 0.0).otherwise(F.col("v.score")).alias("score"), F.when(failed, "no reply").otherwise(T.reason_of_reply(F.col("reply"))).alias("rationale"))
     else:
