@@ -78,11 +78,14 @@ def generate_query(state: State, settings: dict) -> State:
 
 @step("fetch_links")
 def fetch_links(state: State, settings: dict) -> State:
-    """Articles found by the queries: settings have replies, a table (query, body), or search,
-    a function from the queries to one. At most retmax ids of a query count; a query
+    """Articles found by the queries: settings have a service (see sources.services.Service), replies, a
+    table (query, body), or search, a function from the queries to one. At most retmax ids of a query count; a query
     without a reply finds nothing."""
     queries = state.tables["queries"]
-    replies = settings["search"](queries) if "search" in settings else settings["replies"]
+    if "service" in settings:
+        replies = settings["service"].search(queries, settings.get("retmax", 5), settings.get("sort", "relevance"))
+    else:
+        replies = settings["search"](queries) if "search" in settings else settings["replies"]
     ids = queries.join(replies.select("query", "body"), "query").select(*KEYS, F.col("ord").alias("query_ord"), "query", F.posexplode(found_ids(F.col("body"))).alias("rank", "pubmed_id"))
     ids = ids.where(F.col("rank") < settings.get("retmax", 5)).withColumn("stmt_id", F.struct(*KEYS))
     found = E.merge_found(ids)
@@ -107,11 +110,15 @@ def _article_columns() -> list[Column]:
 
 @step("abstract_evidence")
 def abstract_evidence(state: State, settings: dict) -> State:
-    """Title, abstract and types of articles by id, from tables articles (pubmed_id, title,
-    abstract) and pub_types (pubmed_id, pub_type); other sources and unknown ids stay as they are."""
+    """Title, abstract and types of articles by id, from a service, a request for each claim's ids,
+    or from tables articles (pubmed_id, title, abstract) and pub_types (pubmed_id, pub_type);
+    other sources and unknown ids stay as they are."""
     e = evidence_of(state)
     own = F.col("source_type") == "PubMed"
     e = e.withColumn("pubmed_id", F.when(own, F.coalesce(T.article_id(F.coalesce(F.nullif("url", F.lit("")), "pubmed_id")), "pubmed_id")).otherwise(F.col("pubmed_id")))
+    if "service" in settings:
+        ids = e.where(own).select(*KEYS, "ord", "pubmed_id")
+        settings = {**settings, "articles": settings["service"].details(ids, *KEYS), "pub_types": settings["service"].types(ids, *KEYS)}
     for name, columns in (("articles", ("title", "abstract")), ("pub_types", ("pub_type",))):
         if name in settings:
             more = settings[name].dropDuplicates(["pubmed_id"]).select("pubmed_id", *[F.col(c).alias(f"new_{c}") for c in columns])

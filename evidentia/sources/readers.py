@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import ast
 import json
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,31 +122,119 @@ def records_of_text(text: str) -> list[dict]:
     return got
 
 
+RECORD = "path string, id string, statement string, label string, record string, error string"
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of files in any of the encodings of records_of_text(), a row for each: (path, id,
+    statement, label, record as JSON, error). A file that is in none of them, or has a record without
+    statement or id, is one row with the reason as error."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = lambda x: None if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    found = records_of_text(content.decode("utf-8-sig"))
+                    rows = [(name, text(r["id"]), text(r["statement"]), text(r.get("label")), json.dumps(r, ensure_ascii=False), None) for r in found]
+                except (ValueError, SyntaxError, TypeError, KeyError, AttributeError) as e:
+                    rows = [(name, None, None, None, None, f"{type(e).__name__}: {e}")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(6)], names=[c.split()[0] for c in RECORD.split(", ")])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInArrow(parse, RECORD)
+
+
 def found_ids(body: Column) -> Column:
     return F.coalesce(F.from_json(F.get_json_object(body, "$.esearchresult.idlist"), "array<string>"), F.array().cast("array<string>"))
 
 
-ARTICLE = "MedlineCitation struct<PMID:string, Article:struct<ArticleTitle:string, Abstract:struct<AbstractText:array<struct<_Label:string,_NlmCategory:string,_VALUE:string>>>>, OtherAbstract:struct<AbstractText:array<struct<_Label:string,_NlmCategory:string,_VALUE:string>>>>"
+Article = tuple[str, str | None, str | None]
+
+
+def parsed_articles(xml: str) -> list[Article]:
+    """(pubmed_id, title, abstract) of the articles in a text of XML; none of a text that isn't XML.
+
+    A title ends at its first markup. An abstract's parts gather the text around and in their
+    markup; a part's label leads it, blank parts are left out, a placeholder is no abstract.
+    """
+    try:
+        root = ElementTree.fromstring(xml)
+    except (ElementTree.ParseError, ValueError, TypeError):
+        return []
+    found = []
+    for node in [root] if root.tag == "PubmedArticle" else root.iter("PubmedArticle"):
+        key = node.find(".//MedlineCitation/PMID")
+        if key is None or key.text is None:
+            continue
+        title = node.findtext(".//Article/ArticleTitle") or None
+        parts = node.findall(".//Abstract/AbstractText") or node.findall(".//OtherAbstract/AbstractText")
+        said = []
+        for part in parts:
+            if text := "".join(part.itertext()).strip():
+                label = part.get("Label") or part.get("NlmCategory")
+                said.append(f"{label}: {text}" if label else text)
+        whole = " ".join(said).strip()
+        placeholder = whole.lower().startswith("abstract available from")
+        found.append((key.text, title.strip() if title else None, None if placeholder else whole or None))
+    return found
+
+
+ARTICLE = "pubmed_id string, title string, abstract string"
+
+
+def articles_of(bodies: DataFrame) -> DataFrame:
+    """(pubmed_id, title, abstract) of the articles in texts of XML (the first column), parsed batch by batch."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                rows = parsed_articles(text.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["pubmed_id", "title", "abstract"])
+
+    return bodies.mapInArrow(parse, ARTICLE)
+
+
+def read_articles(spark: SparkSession, path: str) -> DataFrame:
+    """The articles of XML files of any size: a file is split at the ends of articles."""
+    end = "</PubmedArticle>"
+    parts = spark.read.option("lineSep", end).text(path).where(F.instr("value", "<PubmedArticle>") > 0)
+    return articles_of(parts.select(F.concat(F.expr("substring(value, instr(value, '<PubmedArticle>'))"), F.lit(end)).alias("xml")))
 
 
 def article(xml: Column) -> Column:
-    """struct(pubmed_id, title, abstract) of an article in XML; labels lead the parts of an
-    abstract, and a placeholder is none."""
-    x = F.from_xml(xml, ARTICLE)["MedlineCitation"]
-    parts = F.coalesce(x["Article"]["Abstract"]["AbstractText"], x["OtherAbstract"]["AbstractText"])
-    line = lambda p: F.concat_ws(": ", F.coalesce(p["_Label"], p["_NlmCategory"]), F.trim(p["_VALUE"]))
-    text = F.array_join(F.transform(parts, line), "\n")
-    text = F.when((text == "") | F.lower(text).startswith("abstract available from"), None).otherwise(text)
-    return F.struct(x["PMID"].alias("pubmed_id"), x["Article"]["ArticleTitle"].alias("title"), text.alias("abstract"))
-
-
-def read_pdfs(spark: SparkSession, path: str, pages=None) -> DataFrame:
-    """(path, file_hash, page, text) of PDF files; pages turns a file's bytes into texts."""
+    """struct(pubmed_id, title, abstract) of the first article in XML: see parsed_articles()."""
+
+    @F.pandas_udf(ARTICLE)
+    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = [next(iter(parsed_articles(t)), (None, None, None)) for t in texts]
+            yield pd.DataFrame(rows, columns=["pubmed_id", "title", "abstract"], dtype=object)
+
+    return parse(xml)
+
+
+def read_pdfs(spark: SparkSession, path: str, pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """(path, file_hash, page, text) of PDF files; pages turns a file's bytes into the texts of its
+    pages, file by file in Arrow batches. A file that it fails on has one row, without page and text."""
     if pages is None:
         raise NotImplementedError("no PDF reader is installed; pass pages")
-    split = F.udf(pages, "array<string>")
+
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(content: bytes) -> list[str] | None:
+            try:
+                return list(pages(content))
+            except Exception:  # noqa: BLE001  a file that can't be read is a row that says so
+                return None
+
+        for contents in batches:
+            yield contents.map(one)
+
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.sha2("content", 256).alias("file_hash"), F.posexplode(split("content")).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    texts = files.select("path", F.sha2("content", 256).alias("file_hash"), split("content").alias("texts"))
+    each = texts.select("path", "file_hash", F.posexplode_outer("texts").alias("page", "text"))
+    return each.withColumn("page", F.col("page") + 1)
 
 
 def not_done(items: DataFrame, done: DataFrame, *keys: str) -> DataFrame:

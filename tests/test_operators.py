@@ -113,7 +113,7 @@ def test_readers(spark, tmp_path):
         assert R.records_of_text(text)[0]["statement"] == "s"
     assert one(spark, R.found_ids(F.lit(json.dumps({"esearchresult": {"idlist": ["1", "2"]}})))) == ["1", "2"] and one(spark, R.found_ids(F.lit("x"))) == []
     xml = "<PubmedArticle><MedlineCitation><PMID>5</PMID><Article><ArticleTitle>T</ArticleTitle><Abstract><AbstractText Label='AIM'>a</AbstractText><AbstractText NlmCategory='B'>b</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>"
-    assert tuple(one(spark, R.article(F.lit(xml)))) == ("5", "T", "AIM: a\nB: b")
+    assert tuple(one(spark, R.article(F.lit(xml)))) == ("5", "T", "AIM: a B: b")
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c")], "k int, v string")
     assert sorted(map(tuple, R.upsert(old, new, "k").collect())) == [(1, "a"), (2, "c")]
 

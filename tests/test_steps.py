@@ -233,7 +233,6 @@ def test_services(spark):
     answers, new = S.cached(requests, cache, fetch)
     assert sorted((r.content, r.status) for r in answers.collect()) == [("OSError: down", 502), ("fetched 1", 200), ("fetched 1", 200), ("newer", 200)]
     assert [r.content for r in new.collect()] == ["fetched 1"]
-    assert S.token_bucket([0.0] * 5, 2, 1.0) == [0.0, 0.0, 1.0, 1.0, 2.0] and S.token_bucket([0.0, 5.0], 1, 1.0) == [0.0, 5.0]
 
 
 def test_one_request_at_a_time(spark, tmp_path):
