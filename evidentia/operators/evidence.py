@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from evidentia.functions.vectors import round2
+from evidentia.operators.nearest import nearest
+from evidentia.plans.barrier import shared_folder
 
 #: Publication type patterns and weights; the greatest that matches counts.
 WEIGHTS = (
@@ -54,7 +57,7 @@ WEIGHTS = (
     (r"retraction of publication", 0.00),
     (r"retracted publication", 0.00),
 )
-#: Bytes of claims' vectors that go to every task at a time.
+#: Bytes of claims' vectors that go to every task at most.
 CLAIM_BYTES = 8 << 20
 
 
@@ -71,25 +74,27 @@ def publication_weight(types: Column, default: float = 0.4) -> Column:
 def top_similar(claims: DataFrame, chunks: DataFrame, k: int = 5, least: float = 0.25) -> DataFrame:
     """The k chunks (chunk_id, chunk_vec) most similar to each claim (claim_id, claim_vec), then those of `least` or more.
 
-    Claims are a stated query set: they go to every task in blocks of CLAIM_BYTES of
-    vectors, whose size is read before. A task multiplies its chunks with a block and
-    passes on the k best of each claim, so few rows are shuffled and ranked. A chunk with
-    the claim's own id doesn't count, nor do vectors that are null or of another length;
+    Claims are written once, and their size read. Up to CLAIM_BYTES of vectors go to every task,
+    which multiplies its chunks with them and passes on the k best of each claim; more than
+    that are joined with the chunks by clusters (see nearest.py), with equal results. A chunk with
+    the claim's own id doesn't count, nor do vectors that are null, hold nulls or are of another length;
     of equal scores the least chunk_id comes first.
     """
-    k = k if k > 0 else 5
-    claims = claims.where("claim_vec is not null").select("claim_id", F.col("claim_vec").cast("array<double>").alias("claim_vec"))
+    k, spark = k if k > 0 else 5, claims.sparkSession
+    claims = claims.select("claim_id", F.col("claim_vec").cast("array<double>").alias("claim_vec"))
+    path = f"{shared_folder(spark)}/claims/{uuid.uuid4().hex}"
+    claims.write.parquet(path)
+    claims = spark.read.schema(claims.schema).parquet(path).where("claim_vec is not null")
     size = claims.agg(F.sum(F.size("claim_vec") * 8 + 16)).first()[0] or 0
-    parts = max(1, -(-size // CLAIM_BYTES))
-    claim, chunk = claims.schema["claim_id"].dataType, chunks.schema["chunk_id"].dataType
-    schema = f"claim_id {claim.simpleString()}, chunk_id {chunk.simpleString()}, score double"
-    found = None
-    for i in range(parts):
-        block = claims if parts == 1 else claims.where(F.pmod(F.xxhash64("claim_id"), F.lit(parts)) == i)
-        held = claims.sparkSession.sparkContext.broadcast(block.toArrow())
-        some = chunks.select("chunk_id", F.col("chunk_vec").cast("array<double>").alias("v")).mapInArrow(_best(held, k, to_arrow_type(claim), to_arrow_type(chunk)), schema)
-        found = some if found is None else found.unionByName(some)
     w = Window.partitionBy("claim_id").orderBy(F.desc("score"), "chunk_id")
+    if size > CLAIM_BYTES:
+        vectors = lambda df, i, v: df.select(F.col(i).alias("id"), F.col(v).cast("array<double>").alias("v")).where(f"{i} is not null and size(v) > 0 and not exists(v, x -> x is null)")
+        found = nearest(vectors(claims, "claim_id", "claim_vec"), vectors(chunks, "chunk_id", "chunk_vec"), k, least)
+    else:
+        claim, chunk = claims.schema["claim_id"].dataType, chunks.schema["chunk_id"].dataType
+        held = spark.sparkContext.broadcast(claims.toArrow())
+        rows = chunks.select("chunk_id", F.col("chunk_vec").cast("array<double>").alias("v"))
+        found = rows.mapInArrow(_best(held, k, to_arrow_type(claim), to_arrow_type(chunk)), f"claim_id {claim.simpleString()}, chunk_id {chunk.simpleString()}, score double")
     return found.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") >= least))
 
 
@@ -199,17 +204,6 @@ def papers_and_chunks(by_source: Column) -> tuple[Column, Column]:
     return F.when(by_source.isNotNull(), others), F.when(by_source.isNotNull(), F.coalesce(F.try_element_at(by_source, F.lit("RAG")), F.lit(0)).cast("long"))
 
 
-def fallback_weight(weight: Column, source: Column) -> Column:
-    """Evidence without a weight of its own has its source's."""
-    return F.coalesce(weight, F.when(source == "RAG", 1.0).otherwise(0.15))
-
-
-def near_top(rows: DataFrame, m: int, *keys: str) -> DataFrame:
-    """The first m rows of each key in order of rank."""
-    w = Window.partitionBy(*keys).orderBy("rank")
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= m).drop("place")
-
-
 def prompt_lines(evidence: DataFrame, line: Column, *keys: str) -> DataFrame:
     """The evidence of each key in one text, the most relevant last; without relevance counts as 0."""
     at = F.struct(F.coalesce("relevance", F.lit(0.0)).alias("r"), "ord", line.alias("line"))

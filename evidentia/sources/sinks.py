@@ -5,6 +5,8 @@ Tables are written by Spark's commit protocol, so readers see a whole write or n
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,24 +23,68 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, *keys: str) -> str:
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, *keys: str, tries: int = 20, before_commit=None) -> str:
     """Rows of new by key over those of the newest version under path, as a next version
-    whose path is returned: what is read is never overwritten, and a failed write has no version."""
-    old = newest(spark, path)
-    n = 0 if old is None else int(old.rsplit("v", 1)[1]) + 1
-    rows = new if old is None else upsert(spark.read.parquet(old), new, *keys)
-    rows.write.mode("overwrite").parquet(f"{path}/v{n}")
-    return f"{path}/v{n}"
+    whose path is returned: what is read is never overwritten, and a failed write has no version.
+
+    A version counts once its manifest, a file of its number that only one writer can make, names its
+    folder. A writer that finds the number taken reads the newer version and merges again, so writers side
+    by side lose no rows; new is written first, so that merging again doesn't make it again.
+    before_commit, if given, is called ahead of each try, for tests.
+    """
+    own = f"{path}/data/{uuid.uuid4().hex}"
+    new.write.parquet(f"{own}/new")
+    more = spark.read.schema(new.schema).parquet(f"{own}/new")
+    for _ in range(tries):
+        n, old = _newest(spark, path)
+        at = f"{own}/v{n + 1}"
+        rows = more if old is None else upsert(spark.read.parquet(old), more, *keys)
+        rows.write.mode("overwrite").parquet(at)
+        if before_commit:
+            before_commit()
+        if _claimed(spark, f"{path}/manifests/{n + 1}", at):
+            return at
+    raise OSError(f"{tries} other versions came first under {path}")
+
+
+def _claimed(spark: SparkSession, manifest: str, at: str) -> bool:
+    """Whether the manifest could be made, with `at` in it: by one writer alone, and seen whole or not at all."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    p, draft = hadoop.fs.Path(manifest), hadoop.fs.Path(f"{at}.manifest")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    out = fs.create(draft, True)
+    out.write(bytearray(at.encode()))
+    out.close()
+    try:
+        # not overwritten where it's there: renamed in one step in HDFS, checked first in local folders
+        spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, p, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception as e:  # noqa: BLE001
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return _read(fs, p) == at
+
+
+def _read(fs, p) -> str:
+    found = fs.open(p)
+    try:
+        return bytes(found.readAllBytes()).decode()
+    finally:
+        found.close()
+
+
+def _newest(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
+    last = max(found, key=lambda f: int(f.getName()), default=None)
+    return (-1, None) if last is None else (int(last.getName()), _read(fs, last))
 
 
 def newest(spark: SparkSession, path: str) -> str | None:
     """The newest whole version under path."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    whole = [s.getPath().getName() for s in fs.listStatus(p) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return f"{path}/v{max(int(n[1:]) for n in whole)}" if whole else None
+    return _newest(spark, path)[1]
 
 
 def snapshot(runs: DataFrame, statements: DataFrame, evidence: DataFrame) -> DataFrame:
