@@ -62,10 +62,18 @@ CLAIM_BYTES = 8 << 20
 
 
 def publication_weight(types: Column, default: float = 0.4) -> Column:
-    """The greatest weight of any type; the default where none is over 0."""
+    """The greatest weight of any type; the default where none is over 0. Patterns of one weight
+    are looked for together, from the greatest weight down to the first that is found."""
+    by_weight: dict[float, list[str]] = defaultdict(list)
+    for pattern, w in WEIGHTS:
+        by_weight[w].append(pattern)
+
     def one(t: Column) -> Column:
         t = F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
-        return F.greatest(*[F.when(t.rlike(rf"\b({p})\b"), w).otherwise(0.0) for p, w in WEIGHTS])
+        found = F.when(t.isNull(), F.lit(None).cast("double"))
+        for w in sorted(by_weight, reverse=True):
+            found = found.when(t.rlike(rf"\b(?:{'|'.join(by_weight[w])})\b"), w)
+        return found.otherwise(0.0)
 
     best = F.array_max(F.transform(types, one))
     return F.when(best > 0, best).otherwise(default)

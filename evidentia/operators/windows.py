@@ -17,14 +17,18 @@ def token_windows(tokens: Column, size: int = 512, overlap: int = 64) -> Column:
 SPLIT_DIGITS = 2
 
 
-def stratified_split(rows: DataFrame, label: str, key: str, share: float, seed: int = 0) -> DataFrame:
-    """rows with split: in each label the first share, by an md5 of key and seed, is "train".
+def stratified_split(rows: DataFrame, label: str, key: str, share: float, seed: int = 0, order: str | None = None, span: int = 4096) -> DataFrame:
+    """rows with split: in each label the first share, by an md5 of key and seed, is "train"; or
+    by order, a column of whole numbers.
 
-    The hash's first digits deal a label to 256 parts, whose sizes tell where the cut
-    falls; rows are ranked within a part only, so no task holds a whole label.
+    The hash's first digits deal a label to 256 parts, an order to spans of its values, and the parts'
+    sizes tell where the cut falls; rows are ranked within a part only, so no task holds a whole label.
     """
-    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    dealt = rows.withColumn("_hash", h).withColumn("_part", F.substring("_hash", 1, SPLIT_DIGITS))
+    if order:
+        dealt = rows.withColumn("_hash", F.col(order)).withColumn("_part", F.floor(F.col(order) / span))
+    else:
+        h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+        dealt = rows.withColumn("_hash", h).withColumn("_part", F.substring("_hash", 1, SPLIT_DIGITS))
     sizes = dealt.groupBy(F.col(label).alias("_label"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
     own = Window.partitionBy("_label")
     sizes = sizes.select("_label", "_p", (F.sum("_n").over(own.orderBy("_p")) - F.col("_n")).alias("_before"), F.floor(F.sum("_n").over(own) * share).alias("_train"))
@@ -71,10 +75,12 @@ def window_rows(pages: DataFrame, size: int = 512, overlap: int = 64) -> DataFra
     """(doc_id, chunk_id, pages, tokens) of pages (doc_id, page, tokens): windows over a
     document's tokens in order of page, each with the pages it touches, its id the document's
     and its place in six digits. Windows of blank tokens alone are left out but keep their number."""
-    each = F.transform(F.col("tokens"), lambda t: F.struct(F.col("page").alias("page"), t.alias("token")))
-    whole = pages.where(F.size("tokens") > 0).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", each.alias("x")))), lambda p: p["x"])).alias("all"))
-    n = F.size("all")
-    starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    cut = whole.select("doc_id", F.posexplode(F.transform(starts, lambda s: F.slice("all", s + 1, size))).alias("at", "part"))
-    some = cut.where(F.exists("part", lambda x: F.trim(x["token"]) != ""))
-    return some.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.lpad(F.col("at").cast("string"), 6, "0")).alias("chunk_id"), F.array_sort(F.array_distinct("part.page")).alias("pages"), F.col("part.token").alias("tokens"))
+    held = pages.where(F.size("tokens") > 0).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "tokens"))).alias("held"))
+    ends = F.aggregate("held", F.array(F.lit(0)), lambda s, p: F.concat(s, F.array(F.element_at(s, -1) + F.size(p["tokens"]))))
+    whole = held.select("doc_id", F.flatten(F.col("held.tokens")).alias("all"), F.col("held.page").alias("page"), ends.alias("ends"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - overlap - 1, F.lit(0)), F.lit(size - overlap))
+    # a page is touched where it begins before the window's end and ends after its start
+    touched = lambda s: F.filter("page", lambda p, i: (F.get("ends", i) < s + size) & (F.get("ends", i + 1) > s))
+    parts = F.transform(starts, lambda s: F.struct(F.slice("all", s + 1, size).alias("tokens"), F.array_sort(F.array_distinct(touched(s))).alias("pages")))
+    cut = whole.select("doc_id", F.posexplode(parts).alias("at", "part")).where(F.exists("part.tokens", lambda t: F.trim(t) != ""))
+    return cut.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.lpad(F.col("at").cast("string"), 6, "0")).alias("chunk_id"), "part.pages", "part.tokens")

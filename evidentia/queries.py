@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from evidentia.functions import collections as C
 from evidentia.functions import display as D
 from evidentia.functions import text as T
 from evidentia.functions import vectors as V
 from evidentia.operators import evidence as E
 from evidentia.operators import metrics as M
+from evidentia.operators import tables as B
 from evidentia.operators import windows as W
+from evidentia.operators.nearest import nearest
 from evidentia.plans.evaluation import summaries
 from evidentia.plans.pipeline import lexical
 from evidentia.sources.readers import not_done, read_tables
@@ -156,8 +159,7 @@ def class_recall(spark, d):
 
 @query("SELECT doc_id, quality, CASE WHEN rn <= floor(n * 0.7) THEN 'train' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY quality) AS n FROM labels)")
 def ranked_split(spark, d):
-    w = Window.partitionBy("quality")
-    return read_tables(spark, d, "labels")[0].select("doc_id", "quality", F.when(F.row_number().over(w.orderBy("doc_id")) <= F.floor(F.count("*").over(w) * 0.7), "train").otherwise("test").alias("split"))
+    return W.stratified_split(read_tables(spark, d, "labels")[0], "quality", "doc_id", 0.7, order="doc_id").select("doc_id", "quality", "split")
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript, count(*) AS turns FROM conversations GROUP BY 1")
@@ -340,3 +342,155 @@ coalesce(nullif(regexp_replace(regexp_replace(trim(substr(text, 1, 30)), '[ \\t\
 def cut_texts(spark, d):
     t = F.col("text")
     return read_tables(spark, d, "documents")[0].select("doc_id", T.cut_long(t).alias("cut"), T.sanitized_name(F.substring(t, 1, 30)).alias("name"))
+
+
+# --- run logs, lists and whole-table forms ---------------------------------------------
+
+
+@query("""SELECT user_id AS run_id, sum(CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id % 100 END)::BIGINT AS total,
+string_agg(event_type || '=' || CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id % 100 END, ',' ORDER BY event_id) AS by_step FROM events WHERE event_id % 11 <> 0 GROUP BY 1""")
+def step_tokens(spark, d):
+    """Events as entries of their user's run log: every seventh has no tokens, every eleventh is a module."""
+    i = F.col("event_id")
+    log = read_tables(spark, d, "events")[0].select(F.col("user_id").alias("run_id"), i.alias("seq"), F.col("event_type").alias("step"), F.when(i % 7 != 0, i % 100).alias("tokens"), (i % 11 == 0).alias("is_module"))
+    said = F.transform("by_step", lambda x: F.concat_ws("=", x["step"], x["tokens"]))
+    return M.tokens_by_step(log).select("run_id", F.col("total").cast("long").alias("total"), F.array_join(said, ",").alias("by_step"))
+
+
+CHANGE = "SELECT o_custkey AS run_id, o_orderpriority AS p, o_orderkey % 5 - o_orderkey % 7 AS own, o_orderkey % 3 AS rag FROM orders WHERE o_orderstatus <> 'P'"
+
+
+@query(f"""WITH c AS ({CHANGE}), s AS (SELECT run_id, p AS source, own AS d FROM c UNION ALL SELECT run_id, 'RAG', rag FROM c),
+b AS (SELECT run_id, source, sum(greatest(d, 0)) AS up, sum(greatest(-d, 0)) AS down FROM s GROUP BY ALL),
+m AS (SELECT run_id, string_agg(source || '=' || up, ',' ORDER BY source) FILTER (up > 0) AS u, string_agg(source || '=' || down, ',' ORDER BY source) FILTER (down > 0) AS v FROM b GROUP BY 1),
+t AS (SELECT run_id, sum(greatest(own + rag, 0))::BIGINT AS found, sum(greatest(-own - rag, 0))::BIGINT AS discarded FROM c GROUP BY 1),
+r AS (SELECT DISTINCT o_custkey AS run_id FROM orders)
+SELECT r.run_id, found, discarded, CASE WHEN found IS NOT NULL THEN coalesce(u, '') END AS found_by, CASE WHEN found IS NOT NULL THEN coalesce(v, '') END AS discarded_by FROM r LEFT JOIN t ON r.run_id = t.run_id LEFT JOIN m ON r.run_id = m.run_id""")
+def found_and_discarded(spark, d):
+    """Orders as steps of their customer's run, each with counts by source before and after; pending ones have none."""
+    k, p, n = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus") != "P"
+    kind = "map<string,int>"
+    before, after = F.create_map(p, k % 7).cast(kind), F.create_map(p, k % 5, F.lit("RAG"), k % 3).cast(kind)
+    log = read_tables(spark, d, "orders")[0].select(F.col("o_custkey").alias("run_id"), F.lit(False).alias("is_module"), F.when(n, before).alias("before"), F.when(n, after).alias("after"))
+    said = lambda c: F.when(F.col(c).isNotNull(), F.array_join(F.transform(F.map_entries(c), lambda x: F.concat_ws("=", x["key"], x["value"])), ","))
+    return M.evidence_changes(log).select("run_id", F.col("found").cast("long").alias("found"), F.col("discarded").cast("long").alias("discarded"), said("found_by_source").alias("found_by"), said("discarded_by_source").alias("discarded_by"))
+
+
+@query("""SELECT stmt_id, doc_id FROM (SELECT lang AS stmt_id, doc_id, row_number() OVER (PARTITION BY lang, CASE WHEN trim(source) = '' OR doc_id % 3 > 0 THEN lower(trim(text)) ELSE lower(trim(source)) END ORDER BY n_chars DESC, doc_id) AS n
+FROM documents WHERE trim(text) <> '') WHERE n = 1""")
+def deduped_evidence(spark, d):
+    """Documents as evidence of their language: every third has its source for an id, the others a title alone."""
+    e = read_tables(spark, d, "documents")[0].where(F.trim("text") != "")
+    none = F.lit(None).cast("string")
+    rows = e.select(F.col("lang").alias("stmt_id"), F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("pubmed_id"), none.alias("doi"), none.alias("url"), F.col("text").alias("title"), F.col("n_chars").alias("weight"))
+    return E.dedup_evidence(rows).select("stmt_id", F.col("ord").alias("doc_id"))
+
+
+FINDS = "SELECT l_orderkey % 50 AS stmt_id, CAST(l_partkey AS VARCHAR) AS pubmed_id, l_linenumber AS q, l_orderkey AS r, l_returnflag || l_linenumber AS query FROM lineitem"
+
+
+@query(f"""WITH f AS ({FINDS}), e AS (SELECT stmt_id, pubmed_id, min((q, r)) AS at, ['A1'] AS own FROM f WHERE q <= 2 GROUP BY ALL),
+one AS (SELECT stmt_id, pubmed_id, lower(query) AS low, min((q, r, query)) AS hit FROM f WHERE q > 1 GROUP BY ALL),
+g AS (SELECT stmt_id, pubmed_id, list_sort(list(hit) FILTER (low <> 'a1')) AS l FROM one GROUP BY ALL)
+SELECT e.stmt_id, e.pubmed_id, array_to_string(list_concat(own, coalesce(list_transform(l, lambda x: x[3]), [])), ',') AS queries FROM e JOIN g USING (stmt_id, pubmed_id)""")
+def evidence_found_again(spark, d):
+    """Lines as finds of parts: what the first two queries found is there, with one query, when all but the first are asked again."""
+    (x,) = read_tables(spark, d, "lineitem")
+    finds = x.select((F.col("l_orderkey") % 50).alias("stmt_id"), F.col("l_partkey").cast("string").alias("pubmed_id"), F.col("l_linenumber").alias("query_ord"), F.col("l_orderkey").alias("rank"), F.concat("l_returnflag", "l_linenumber").alias("query"))
+    there = E.merge_found(finds.where("query_ord <= 2")).withColumn("queries", F.array(F.lit("A1")))
+    again = E.found_again(there, finds.where("query_ord > 1"))
+    return again.join(there.select("stmt_id", "ord", "pubmed_id"), ["stmt_id", "ord"]).select("stmt_id", "pubmed_id", F.array_join("queries", ",").alias("queries"))
+
+
+@query(f"SELECT claim_id, chunk_id, round(s, 6) AS score, rank FROM ({TOP})")
+def nearest_chunks(spark, d):
+    """As top_chunks, by clusters on both sides, the way of claims too many to send."""
+    e = read_tables(spark, d, "embeddings")[0].select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    found = nearest(e.where("id % 100 = 0"), e, 5)
+    rank = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("score"), "chunk_id"))
+    return found.withColumn("rank", rank.cast("long")).withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN x BETWEEN 0 AND 1 THEN x * 100 ELSE x END DESC NULLS LAST, o_orderkey) AS place
+FROM (SELECT *, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 0.0 WHEN 2 THEN (o_orderkey % 100) / 100.0::DOUBLE ELSE (o_orderkey % 100)::DOUBLE END AS x FROM orders)""")
+def display_order(spark, d):
+    """Orders as their customer's evidence, with relevance as texts: no number, none, a share or a percentage."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 6 == 0, "n/a").when(k % 6 == 1, F.lit(None).cast("string")).when(k % 6 == 2, ((k % 100) / 100).cast("string")).otherwise((k % 100).cast("string"))
+    rows = read_tables(spark, d, "orders")[0].select("o_custkey", k.alias("ord"), text.alias("relevance"))
+    return D.by_relevance(rows, "o_custkey").select(F.col("ord").alias("o_orderkey"), F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT o_orderkey, floor((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) / 3)::BIGINT AS batch FROM orders")
+def order_batches(spark, d):
+    return B.batched(read_tables(spark, d, "orders")[0], 3, ["o_orderdate", "o_orderkey"], "o_custkey").select("o_orderkey", F.col("batch").cast("long").alias("batch"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n <= 4")
+def capped_lines(spark, d):
+    rows = read_tables(spark, d, "lineitem")[0].withColumn("price", -F.col("l_extendedprice"))
+    return B.capped(rows, 4, ["price", "l_orderkey", "l_linenumber"], "l_suppkey").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def head_orders(spark, d):
+    rows = read_tables(spark, d, "orders")[0].select("o_orderkey", "o_totalprice", (-F.col("o_totalprice")).alias("low"))
+    return B.head(rows, 25, "low", "o_orderkey").drop("low")
+
+
+@query("""SELECT row_id, lang, claim, label FROM (SELECT c_custkey AS row_id, 'en' AS lang, trim(c_name) AS claim, c_nationkey AS label FROM customer UNION ALL SELECT c_custkey, 'de', trim(CASE WHEN c_custkey % 4 = 0 THEN '  ' ELSE c_mktsegment END), c_nationkey FROM customer) WHERE claim <> ''""")
+def long_claims(spark, d):
+    """Customers as records in two languages, whose second claim is blank in every fourth."""
+    rows = read_tables(spark, d, "customer")[0].select("c_custkey", F.col("c_name").alias("en_claim"), F.when(F.col("c_custkey") % 4 == 0, "  ").otherwise(F.col("c_mktsegment")).alias("de_claim"), F.col("c_nationkey").alias("label"))
+    return B.long_form(rows, "c_custkey", ["en", "de"])
+
+
+@query("SELECT s_suppkey AS id, s_name AS statement, s_nationkey AS labels, NULL::VARCHAR AS note FROM supplier UNION ALL SELECT p_partkey, p_name, NULL, p_brand FROM part")
+def stacked_tables(spark, d):
+    """Labelled records over records without labels, as a trainer takes them."""
+    s, p = read_tables(spark, d, "supplier", "part")
+    one = B.for_training(s.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("statement"), F.col("s_nationkey").alias("label")))
+    two = B.for_training(p.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("statement"), F.col("p_brand").alias("note")))
+    return B.stacked(one, two).withColumnRenamed("key", "id")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def known_customers(spark, d):
+    c, o = read_tables(spark, d, "customer", "orders")
+    return B.known(c.select("c_custkey", "c_name"), o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("""WITH t AS (SELECT o_orderkey, list(l_shipmode ORDER BY l_linenumber) AS l FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_returnflag || l_linestatus END AS l_shipmode FROM lineitem) GROUP BY 1),
+u AS (SELECT o_orderkey, unnest(l) AS k FROM t), c AS (SELECT o_orderkey, k, count(*) AS n FROM u WHERE k IS NOT NULL GROUP BY ALL)
+SELECT t.o_orderkey, coalesce(string_agg(k || '=' || n, ',' ORDER BY k), '') AS counts, coalesce(sum(n) FILTER (k = 'NO'), 0)::BIGINT AS n_no, coalesce(sum(n) FILTER (k = 'XX'), 0)::BIGINT AS n_xx FROM t LEFT JOIN c ON c.o_orderkey = t.o_orderkey GROUP BY 1""")
+def flag_counts(spark, d):
+    """Counts of an order's flags as a map, read with a default."""
+    flag = F.when(F.col("l_linenumber") % 4 != 0, F.concat("l_returnflag", "l_linestatus"))
+    lists = read_tables(spark, d, "lineitem")[0].groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", flag.alias("k")))), lambda x: x["k"]).alias("l"))
+    rows = lists.withColumn("m", C.counted(F.col("l")))
+    said = F.array_join(F.transform(F.map_entries("m"), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
+    return rows.select("o_orderkey", said.alias("counts"), C.count_of(F.col("m"), F.lit("NO")).cast("long").alias("n_no"), C.count_of(F.col("m"), F.lit("XX")).cast("long").alias("n_xx"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'nation=' || c_nationkey WHEN c_custkey % 5 = 1 THEN 'segment=' || c_mktsegment || ',nation=0' ELSE 'nation=0,segment=' || c_mktsegment END AS merged, CASE WHEN c_custkey % 5 > 1 THEN 'segment=' || c_mktsegment WHEN c_custkey % 5 = 1 THEN 'segment=' || c_mktsegment ELSE '' END AS less FROM customer""")
+def merged_settings(spark, d):
+    """Two maps of a customer's settings, of which the second stands; one may be null."""
+    c = F.col("c_custkey")
+    nation = F.when(c % 5 == 1, F.create_map(F.lit("nation"), F.lit("9"))).otherwise(F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string")))
+    second = F.when(c % 5 == 1, F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("nation"), F.lit("0"))).when(c % 5 > 1, F.create_map(F.lit("nation"), F.lit("0"), F.lit("segment"), F.col("c_mktsegment")))
+    m = C.merged_map(nation, second)
+    said = lambda x: F.array_join(F.transform(F.map_entries(x), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return read_tables(spark, d, "customer")[0].select("c_custkey", said(m).alias("merged"), said(C.without_keys(m, "nation")).alias("less"))
+
+
+@query("""SELECT e.l_orderkey, e.l_linenumber, p_name AS title FROM lineitem e LEFT JOIN (SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 = 0) ON p_partkey = l_partkey""")
+def attached_details(spark, d):
+    e, p = read_tables(spark, d, "lineitem", "part")
+    rows = e.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("pubmed_id"))
+    return E.attach_details(rows, p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("pubmed_id"), F.col("p_name").alias("title"))).drop("pubmed_id")
+
+
+@query("""SELECT page_id, instr(p, '/reel/') > 0 OR instr(p, '/reels/') > 0 AS is_reel, trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1, 'is')) AS title FROM (SELECT *, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS p FROM pages)""")
+def page_titles(spark, d):
+    """What is read of a page: whether it's a reel, and its text, which here is its own title (the pages have no meta descriptions)."""
+    return read_tables(spark, d, "pages")[0].select("page_id", D.is_reel(F.col("url")).alias("is_reel"), D.page_text(F.col("html")).alias("title"))
