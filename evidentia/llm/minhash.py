@@ -347,5 +347,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     )
 
 
+def audit_recall(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, every: int = 100) -> tuple[int, int]:
+    """(links, links within one class) of documents whose id is divisible by `every` to all others.
+
+    Exact: two documents with a link share a shingle, so the shingles of the asked ones are joined with
+    all shingles and each pair's are counted; no signatures are used. classes is near_duplicates()'s
+    result. Rows that share an id count as one document, with the text that comes first.
+    """
+    rows = renamed(docs, node="doc_id", text="text").selectExpr("cast(node as long) node", "text").where("node is not null")
+    rows = rows.groupBy("node").agg(F.min("text").alias("text"))
+    sets = written(shingle_sets(rows, words).select("node", "shingles", F.size("shingles").alias("n")), "audit-sets", BATCH)
+    asked = sets.where(F.col("node") % every == 0)
+    ours = asked.select(F.col("node").alias("q"), F.explode("shingles").alias("s"))
+    theirs = sets.select("node", F.explode("shingles").alias("s")).join(ours.select("s").distinct(), "s", "left_semi")
+    common = ours.join(theirs, "s").where("q <> node").groupBy("q", "node").agg(F.count("*").alias("both"))
+    size = sets.select("node", "n")
+    pairs = common.join(size, "node").join(size.select(F.col("node").alias("q"), F.col("n").alias("m")), "q")
+    links = pairs.where(F.col("both") >= similarity * (F.col("n") + F.col("m") - F.col("both")))
+    of = classes.groupBy("doc_id").agg(F.min("class_id").alias("class"))
+    own = links.join(of.select(F.col("doc_id").alias("node"), F.col("class").alias("a")), "node").join(of.select(F.col("doc_id").alias("q"), F.col("class").alias("b")), "q")
+    n, found = own.agg(F.count("*"), F.count_if(F.col("a") == F.col("b"))).first()
+    return n, found
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

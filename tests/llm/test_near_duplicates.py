@@ -256,3 +256,29 @@ def test_line_dedup_keeps_columns_of_any_name(spark):
     out = line_dedup.dedup_lines(df)
     assert out.columns == ["doc_id", "text", *names, "n_lines", "n_dropped"]
     assert [(set(r[2:12]), r.n_dropped) for r in out.orderBy("doc_id").collect()] == [({"mine"}, 0), ({"mine"}, 1), ({"mine"}, 1), ({"mine"}, 1)]
+
+
+def test_recall_audit_counts_exact_links(spark):
+    from evidentia.llm import minhash
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(0, 60, 2):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(3, 60))]
+        other = list(words)
+        for _ in range(rng.randint(0, 4)):
+            other[rng.randrange(len(other))] = "changed"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
+    rows += [(60, None), (62, ""), (64, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shingles(text):
+        w = (text or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingles(t) for i, t in rows}
+    want = [(a, b) for a in sets for b in sets if a % 2 == 0 and a != b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    classes = minhash.near_duplicates(df)
+    assert minhash.audit_recall(df, classes, every=2) == (len(want), len(want)) and len(want) > 10
+    apart = df.select("doc_id", F.col("doc_id").alias("class_id"))
+    assert minhash.audit_recall(df, apart, every=2) == (len(want), 0)
