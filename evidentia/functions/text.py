@@ -121,21 +121,11 @@ def sanitized_name(c: Column, default: str = "Unnamed_Pipeline") -> Column:
     return F.coalesce(F.nullif(kept, F.lit("")), F.lit(default))
 
 
-def safe_name(c: Column) -> Column:
-    """An older form than sanitized_name(), which the reports use."""
-    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.trim(c), r"[^A-Za-z0-9._-]+", "_"), "^_+|_+$", ""), F.lit("")), F.lit("config"))
-
-
 def cut_long(c: Column, limit: int = 1000) -> Column:
     """A longer text is cut and says by how many characters."""
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("... [truncated "), (F.length(c) - limit).cast("string"), F.lit(" chars]"))).otherwise(c)
 
 
-def truncated(c: Column, limit: int = 1000) -> Column:
-    """An older form than cut_long(), which the logs use."""
-    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("... ["), (F.length(c) - limit).cast("string"), F.lit(" chars]"))).otherwise(c)
-
-
 def truthy(c: Column) -> Column:
     return F.lower(F.trim(c)).isin("1", "true", "yes", "y", "on")
 
@@ -267,15 +257,6 @@ def run_id(name: Column, item: Column, worker: Column, at: Column) -> Column:
     return F.concat_ws("_", sanitized_name(name), item.cast("string"), worker.cast("string"), F.date_format(at, "yyyyMMdd_HHmmss_SSSSSS"))
 
 
-def evidence_line(label: Column, weight: Column, relevance: Column, stance: Column, text: Column) -> Column:
-    """Parts that are null are left out."""
-    two = lambda c: F.format_string("%.2f", c)
-    return F.concat(F.lit("- "), F.concat_ws(
-        " | ", label, F.when(weight.isNotNull(), F.concat(F.lit("w "), two(weight))), F.when(relevance.isNotNull(), F.concat(F.lit("rel "), two(relevance))),
-        F.when(stance.isNotNull(), F.concat(F.lit("stance abs "), stance)), F.when(text.isNotNull(), F.concat(F.lit("text: "), F.trim(F.translate(text, "\n", " ")))),
-    ))
-
-
 def document_key(path: Column, digest: Column) -> Column:
     return F.substring(F.sha2(F.concat(path, F.lit("::"), digest), 256), 1, 32)
 

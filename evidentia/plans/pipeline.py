@@ -137,13 +137,6 @@ def set_statement(config: dict, statement: str, stmt_id: int = 1) -> dict:
     raise ValueError("the config has no step mock_statements")
 
 
-def with_statement(config: dict, statement: str) -> dict:
-    """set_statement(), with such a step put first where the config has none."""
-    if any(s["type"] == "mock_statements" for s in config["steps"]):
-        return set_statement(config, statement)
-    return set_statement({**config, "steps": [{"type": "mock_statements", "settings": {}}, *config["steps"]]}, statement)
-
-
 def with_settings(config: dict, **llm: Any) -> dict:
     """A copy of config with these model settings over its own."""
     out = copy.deepcopy(config)

@@ -50,8 +50,7 @@ def test_queries_and_stances(spark):
     assert one(spark, q, q="a[title]") is None and one(spark, q, q="(a[mh]") is None
     assert [one(spark, T.stance_label(F.lit(0.2), F.lit(0.1), t)) for t in (0.3, 0.0)] == ["Neutral", "Supports"]
     assert [one(spark, T.score_percent(F.lit(x))) for x in ("0.85", "85", "101", "")] == [85, 85, None, None]
-    assert one(spark, T.evidence_line(F.lit("A"), F.lit(0.5), F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit("x\ny"))) == "- A | w 0.50 | text: x y"
-    assert one(spark, T.truncated(F.lit("abcdef"), 4)) == "abcd... [2 chars]" and one(spark, T.safe_name(F.lit(" a b/c "))) == "a_b_c" and one(spark, T.truthy(F.lit(" Yes ")))
+    assert one(spark, T.cut_long(F.lit("abcdef"), 4)) == "abcd... [truncated 2 chars]" and one(spark, T.sanitized_name(F.lit(" a b/c "))) == "a_bc" and one(spark, T.truthy(F.lit(" Yes ")))
     assert one(spark, T.first_text(F.lit(""), F.lit(None), F.lit(" x "))) == "x" and one(spark, T.verdict_label(F.lit(" False"))) == 2
 
 
@@ -120,8 +119,8 @@ def test_readers(spark, tmp_path):
 
 def test_pipeline(spark):
     evidence = spark.createDataFrame([(1, "PubMed", ["Review"], 0.15, "alpha beta", "x"), (1, "RAG", [], 1.0, "none", None)], "stmt_id int, source_type string, pub_type array<string>, weight double, title string, abstract string")
-    config = {"name": "c", "steps": [{"type": "module", "settings": {"name": "all", "steps": [{"type": "weight_evidence"}, {"type": "rerank", "settings": {"min_relevance": 0.5}}]}}]}
-    state = P.run(P.with_statement(config, "Alpha beta"), P.State({"evidence": evidence}))
+    config = {"name": "c", "steps": [{"type": "mock_statements"}, {"type": "module", "settings": {"name": "all", "steps": [{"type": "weight_evidence"}, {"type": "rerank", "settings": {"min_relevance": 0.5}}]}}]}
+    state = P.run(P.set_statement(config, "Alpha beta"), P.State({"evidence": evidence}))
     assert [(r.weight, r.relevance) for r in state.tables["evidence"].collect()] == [(0.55, 1.0)]
     assert [(x["step"], x["indent"]) for x in state.log] == [("mock_statements", 0), ("weight_evidence", 1), ("rerank", 1), ("all", 0)]
     with pytest.raises(ValueError):

@@ -155,8 +155,8 @@ def test_whole_run(spark):
 
 def test_configs(spark):
     config = {"name": "c", "llm_settings": {"a": 1}, "steps": [{"type": "mock_statements", "settings": {"statements": [{"text": "old"}]}}, {"type": "truthness", "settings": {"model": "m", "x": [{"model_name": "n"}]}}]}
-    assert P.with_statement(config, "new")["steps"][0]["settings"]["statements"] == [{"id": 1, "text": "new"}] and config["steps"][0]["settings"]["statements"] == [{"text": "old"}]
-    assert len(P.with_statement(config, "new")["steps"]) == 2 and P.with_settings(config, b=2)["llm_settings"] == {"a": 1, "b": 2} and P.model_names(config) == ({"m"}, {"n"})
+    assert P.set_statement(config, "new")["steps"][0]["settings"]["statements"] == [{"id": 1, "text": "new"}] and config["steps"][0]["settings"]["statements"] == [{"text": "old"}]
+    assert len(P.set_statement(config, "new")["steps"]) == 2 and P.with_settings(config, b=2)["llm_settings"] == {"a": 1, "b": 2} and P.model_names(config) == ({"m"}, {"n"})
     with pytest.raises(ValueError):
         P.set_statement({"steps": []}, "x")
     names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
