@@ -170,7 +170,8 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", names: tupl
     A text that is null or has no letter is `und` with a score of 0; so is any text
     where no language was learned. Of equally near languages the first by name wins. A
     text of any length counts whole; an empty table gives no rows; columns of docs that
-    have one of the two names are replaced, all others stay.
+    have one of the two names are replaced, all others stay. Rows that repeat have
+    a row each, with the same values.
     """
     held = docs.sparkSession.sparkContext.broadcast(profiles)
 

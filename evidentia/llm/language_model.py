@@ -347,7 +347,9 @@ def score_documents(docs: DataFrame, seed: int = 11, each: bool = False) -> Data
     The model learns from the documents that aren't held out. base_score sums
     log10((c + 1) / (N + V + 1)); score is the log10 probability by the Pitman-Yor
     model. A null text is empty and has the end alone. Repeated rows each count and
-    are each scored. Where nothing is learned every token has the unknown's probability.
+    are each scored, as are rows without doc_id. Where nothing is learned every token has
+    the unknown's probability. A text of any length counts whole; an empty table gives
+    no rows; other columns are ignored, whatever their names.
     """
     chunked = written(chunks(docs), "lm-chunks")
     tokens = chunked.agg(F.sum("n_tokens")).first()[0] or 0

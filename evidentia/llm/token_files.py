@@ -44,7 +44,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     part is the number of a file in that order, part_start the ids in it before the
     document. A null text is empty, so it has the end id alone; a null doc_id comes
-    first; rows with one doc_id are ordered by a hash of their text.
+    first; rows with one doc_id are ordered by a hash of their text. A text of any
+    length is encoded whole and is one row; an empty table writes files without rows;
+    columns other than doc_id and text are ignored, whatever their names.
     """
     tokens, end = tokenizer or vocabulary(), np.array([end_id], "<u4").tobytes()
 

@@ -57,7 +57,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     captures has page_id, url and fetched (a date). A URL without host, or a null
     date, is on no list. n_matches counts pairs of a list and a domain (the host or
-    a parent) that hold. Repeated captures have a row each.
+    a parent) that hold. Repeated captures have a row each. No captures give no
+    rows, no entries block nothing; other columns are ignored, whatever their names.
+    Hosts and days are asked about once each, so a domain that many captures share
+    isn't a hot key before its answers are joined to them.
     """
     pages = renamed(captures, page_id="page_id", url="url", fetched="fetched").select("page_id", url_host(F.col("url")).alias("host"), "fetched")
     asked = pages.where("host is not null and fetched is not null").select("host", F.col("fetched").alias("day")).distinct()
