@@ -494,3 +494,66 @@ def attached_details(spark, d):
 def page_titles(spark, d):
     """What is read of a page: whether it's a reel, and its text, which here is its own title (the pages have no meta descriptions)."""
     return read_tables(spark, d, "pages")[0].select("page_id", D.is_reel(F.col("url")).alias("is_reel"), D.page_text(F.col("html")).alias("title"))
+
+
+# --- expressions over whole columns ------------------------------------------------------
+
+SUM_OF = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
+
+
+@query(f"""SELECT a.vec_id, round({SUM_OF.format('a.embedding', 'b.embedding')} / (sqrt({SUM_OF.format('a.embedding', 'a.embedding')}) * sqrt({SUM_OF.format('b.embedding', 'b.embedding')})), 6) AS cosine
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def neighbour_cosines(spark, d):
+    """Cosine of each vector and the next by id."""
+    (e,) = read_tables(spark, d, "embeddings")
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(other, "vec_id").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+
+
+@query("""SELECT vec_id, round(exp(e[1] - m) / t, 9) AS first_share, round(exp(e[8] - m) / t, 9) AS last_share, round(1 / (1 + exp(-e[1])), 9) AS first_sigmoid
+FROM (SELECT *, list_sum(list_transform(e, lambda x: exp(x - m))) AS t FROM (SELECT vec_id, e, list_max(e) AS m FROM (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS e FROM embeddings)))""")
+def softmax_shares(spark, d):
+    """Softmax over the first eight numbers of each vector, and the sigmoid of the first."""
+    rows = read_tables(spark, d, "embeddings")[0].select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("e")).withColumn("s", V.softmax(F.col("e")))
+    return rows.select("vec_id", F.round(F.get("s", 0), 9).alias("first_share"), F.round(F.get("s", 7), 9).alias("last_share"), F.round(V.sigmoid(F.get("e", 0)), 9).alias("first_sigmoid"))
+
+
+@query("""SELECT o_custkey, arg_max(o_orderpriority, (total, -o_orderkey)) AS best FROM (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE floor(o_totalprice / 10000) END AS total FROM orders) WHERE total IS NOT NULL GROUP BY 1
+UNION ALL SELECT o_custkey, NULL FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderkey % 4 <> 0) = 0""")
+def best_priorities(spark, d):
+    """The priority of a customer's dearest order by steps of price, the first of equal ones; every fourth order has no price."""
+    o = read_tables(spark, d, "orders")[0]
+    pair = F.struct("o_orderkey", F.struct(F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderkey") % 4 != 0, F.floor(F.col("o_totalprice") / 10000)).alias("value")).alias("x"))
+    lists = o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["x"]).alias("l"))
+    return lists.select("o_custkey", C.best_of(F.col("l")).alias("best"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END::INTEGER AS label, CASE WHEN o_orderkey % 4 < 3 THEN ['true', 'uncertain', 'false'][o_orderkey % 4 + 1] END AS verdict FROM orders""")
+def verdict_labels(spark, d):
+    """Verdicts as replies may spell them, as labels: the fourth is blank."""
+    said = F.get(F.array(F.lit(" True"), F.lit("UNCERTAIN "), F.lit("false"), F.lit("  ")), (F.col("o_orderkey") % 4).cast("int"))
+    return read_tables(spark, d, "orders")[0].select("o_orderkey", T.verdict_label(said).cast("int").alias("label"), T.normalised_verdict(said).alias("verdict"))
+
+
+@query("""SELECT event_id, strftime(ts::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') AS at, event_type || '_' || event_id || '_7_' || strftime(ts::TIMESTAMP, '%Y%m%d_%H%M%S_%f') AS run FROM events""")
+def event_times(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    return read_tables(spark, d, "events")[0].select("event_id", T.utc_text(ts).alias("at"), T.run_id(F.col("event_type"), F.col("event_id"), F.lit(7), ts).alias("run"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, greatest(0, least(x + w, 800) - greatest(x, 0)) * greatest(0, least(y + h, 600) - greatest(y, 0)) AS area
+FROM (SELECT *, (l_partkey % 1000 - 100)::DOUBLE AS x, (l_suppkey % 800 - 100)::DOUBLE AS y, l_quantity::DOUBLE * 7 AS w, l_quantity::DOUBLE * 5 AS h FROM lineitem)""")
+def visible_areas(spark, d):
+    """Of rectangles that lie where a line's keys say, what a window of 800 by 600 shows."""
+    x, y, q = (F.col("l_partkey") % 1000 - 100).cast("double"), (F.col("l_suppkey") % 800 - 100).cast("double"), F.col("l_quantity").cast("double")
+    area = D.visible_area(x, y, x + q * 7, y + q * 5, F.lit(800.0), F.lit(600.0))
+    return read_tables(spark, d, "lineitem")[0].select("l_orderkey", "l_linenumber", area.alias("area"))
+
+
+@query("""SELECT event_id, repeat('   ', (event_id % 3)::INTEGER) || CASE WHEN event_id % 5 = 0 THEN '>> ' || upper(event_type) ELSE event_type END AS name, printf('%.4fs', (event_id % 1000) / 8.0::DOUBLE) AS duration,
+CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 4 > 0 THEN (event_id % 4)::VARCHAR ELSE '-' END AS tokens FROM events""")
+def log_rows(spark, d):
+    """Events as entries of a run's log, as a report shows them."""
+    i = F.col("event_id")
+    name, duration, tokens = D.log_row(F.col("event_type"), (i % 3).cast("int"), i % 5 == 0, i % 4, (i % 1000) / 8)
+    return read_tables(spark, d, "events")[0].select("event_id", name.alias("name"), duration.alias("duration"), tokens.alias("tokens"))
