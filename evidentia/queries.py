@@ -528,7 +528,7 @@ def best_priorities(spark, d):
     return lists.select("o_custkey", C.best_of(F.col("l")).alias("best"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END::INTEGER AS label, CASE WHEN o_orderkey % 4 < 3 THEN ['true', 'uncertain', 'false'][o_orderkey % 4 + 1] END AS verdict FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END::INTEGER AS label, ['true', 'uncertain', 'false', ''][o_orderkey % 4 + 1] AS verdict FROM orders""")
 def verdict_labels(spark, d):
     """Verdicts as replies may spell them, as labels: the fourth is blank."""
     said = F.get(F.array(F.lit(" True"), F.lit("UNCERTAIN "), F.lit("false"), F.lit("  ")), (F.col("o_orderkey") % 4).cast("int"))
