@@ -16,21 +16,9 @@ from evidentia.operators import windows as W
 from evidentia.operators.nearest import nearest
 from evidentia.plans.evaluation import summaries
 from evidentia.plans.pipeline import lexical
+from evidentia.registry import QUERIES, SQL, query  # noqa: F401
 from evidentia.sources.readers import not_done, read_tables
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 DOT = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))"
 TOP = f"""SELECT * FROM (SELECT a.vec_id AS claim_id, b.vec_id AS chunk_id, {DOT} AS s,
  row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) AS rank
