@@ -9,7 +9,9 @@ fewer words are looked up whole.
 
 The benchmark is taken in blocks of at most BLOCK_BYTES of text, each of which
 goes to every task; its size is read before. One block is the usual case. With
-more, each block is one pass over the documents and passes are merged by document.
+more, each block is one pass over the documents and passes are merged by document. A
+benchmark of more than JOIN_BYTES is joined by its windows (see window_join.py), in
+one pass and with equal results.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ WINDOW = 10
 K = 5
 GUARD = WINDOW - K + 1
 BLOCK_BYTES = 8 << 20
+JOIN_BYTES = 4 * BLOCK_BYTES
 #: Places of documents and items with equal hashes compared at a time.
 PAIRS = 1 << 20
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -225,12 +228,13 @@ def _merge(spans):
     return F.aggregate(F.array_sort(spans), zero, step, lambda s: s["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, keyed: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, keyed: bool = False, join_bytes: int = JOIN_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans and items, a row for each row.
 
     spans are first and last-but-one word, items the ids. A null or wordless text
     has no words and no hits; items without words occur nowhere. Items that repeat
-    count once for each id; one without id marks words but isn't counted. A text of any
+    count once for each id; one without id marks words but isn't counted. spans may overlap where
+    there are several blocks or windows are joined. A text of any
     length is taken whole; an empty table of documents gives no rows, one of items no hits;
     other columns are ignored. keyed adds text_key, the xxhash64 of the text.
     """
@@ -244,7 +248,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     def index(block: int) -> Index:
         return Index(sorted(((r[0], r[1]) for r in items.where(key == block).collect()), key=lambda r: (r[0] or "", r[1])))
 
-    found = _scan(rows, index(0), hits_only=False)
+    if size > join_bytes:
+        from evidentia.llm.window_join import joined
+
+        found, blocks = joined(rows, items), 0
+    else:
+        found = _scan(rows, index(0), hits_only=False)
     if blocks > 1:
         more = None
         for b in range(1, blocks):

@@ -336,24 +336,41 @@ def brute_contamination(texts, items):
 FIELDS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 3000])
-def test_decontamination_equals_brute_force(spark, sf, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "join_bytes"), [(1 << 20, 1 << 30), (3000, 1 << 30), (3000, 0)])
+def test_decontamination_equals_brute_force(spark, sf, block_bytes, join_bytes):
+    """In one block, in several, and with the windows joined."""
     d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    got = {r.doc_id: tuple(r[f] for f in FIELDS) for r in decontaminate.contamination(d, b, block_bytes).collect()}
+    got = {r.doc_id: tuple(r[f] for f in FIELDS) for r in decontaminate.contamination(d, b, block_bytes, join_bytes=join_bytes).collect()}
     rows = d.collect()
     want = dict(zip([r.doc_id for r in rows], brute_contamination([r.text for r in rows], [(r.item_id, r.text) for r in b.collect()]), strict=True))
     assert got == want and any(w[4] for w in want.values())
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_decontamination_edges(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "join_bytes"), [(1 << 20, 1 << 30), (60, 1 << 30), (60, -1)])
+def test_decontamination_edges(spark, block_bytes, join_bytes):
     rng = random.Random(5)
     some = lambda n: " ".join(rng.choice(["a", "b", "C", "the", "42", "é"]) for _ in range(n))
     items = [(1, None), (2, ""), (3, "!!"), (4, "zz"), (5, "b a the"), (5, "b a the"), (6, some(9)), (7, some(10)), (8, some(30)), (10, some(12)), (11, "b a the")]
     texts = [(i, some(rng.randint(0, 300))) for i in range(60)] + [(60, None), (61, items[8][1]), (62, items[7][1] + " " + items[8][1]), (63, items[8][1][:-3]), (64, "ZZ"), (65, "ZZ"), (65, "ZZ")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("spans", F.lit(1))
-    got = sorted((r.doc_id, *(r[f] for f in FIELDS)) for r in decontaminate.contamination(docs(spark, texts), bench, block_bytes).collect())
+    got = sorted((r.doc_id, *(r[f] for f in FIELDS)) for r in decontaminate.contamination(docs(spark, texts), bench, block_bytes, join_bytes=join_bytes).collect())
     want = sorted((i, *w) for (i, _), w in zip(texts, brute_contamination([t for _, t in texts], [x for x in items if x[1]]), strict=True))
     assert got == want
-    assert decontaminate.contamination(docs(spark, []), bench).count() == 0
-    assert not any(r.contaminated for r in decontaminate.contamination(docs(spark, texts), bench.limit(0)).collect())
+    assert decontaminate.contamination(docs(spark, []), bench, join_bytes=join_bytes).count() == 0
+    assert not any(r.contaminated for r in decontaminate.contamination(docs(spark, texts), bench.limit(0), join_bytes=join_bytes).collect())
+
+
+def test_windows_joined_with_a_filter_that_is_full(spark, monkeypatch):
+    """Results don't hang on the filter: with 64 bits it lets nearly all through. One item is very long, one word too, and many items share a window."""
+    from evidentia.llm import window_join
+
+    plain = window_join.joined
+    monkeypatch.setattr(window_join, "joined", lambda rows, items: plain(rows, items, filter_bits=64))
+    rng = random.Random(8)
+    some = lambda n: " ".join(rng.choice(["a", "b", "the", "of"]) for _ in range(n))
+    shared = some(11)
+    items = [*((i, f"x{i} {shared} y{i}") for i in range(40)), (50, some(3000)), (51, "w" * 100_000), (52, "of"), (None, some(20))]
+    texts = [(i, some(40)) for i in range(20)] + [(i, f"{shared} q{i}") for i in range(20, 60)] + [(70, "w" * 100_000 + " end"), (None, shared), (71, some(20_000))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    read = lambda join: sorted(tuple(r[f] for f in FIELDS) + (r.doc_id or -1,) for r in decontaminate.contamination(docs(spark, texts), bench, join_bytes=join).collect())
+    assert read(-1) == read(1 << 30)
