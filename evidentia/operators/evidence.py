@@ -137,11 +137,11 @@ def _best(held, k: int, claim: pa.DataType, chunk_type: pa.DataType):
 
 def merge_found(found: DataFrame) -> DataFrame:
     """Evidence per (stmt_id, pubmed_id) of finds (stmt_id, query_ord, rank, pubmed_id, query): its
-    place by first find, and the queries that found it again, each once whatever its case."""
+    place by first find and id, and the queries that found it again, each once whatever its case."""
     at = F.struct("query_ord", "rank", "query")
     one = found.groupBy("stmt_id", "pubmed_id", F.lower("query").alias("low")).agg(F.min(at).alias("at"))
     first = one.groupBy("stmt_id", "pubmed_id").agg(F.sort_array(F.collect_list("at")).alias("all"))
-    w = Window.partitionBy("stmt_id").orderBy("at")
+    w = Window.partitionBy("stmt_id").orderBy("at", F.asc_nulls_last("pubmed_id"))
     return first.withColumn("at", F.col("all")[0]).select("stmt_id", "pubmed_id", (F.row_number().over(w) - 1).alias("ord"), F.transform(F.slice("all", 2, 1 << 20), lambda s: s["query"]).alias("queries"))
 
 

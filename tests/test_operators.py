@@ -68,6 +68,33 @@ def test_provenance(spark):
     assert [r.chosen for r in E.top_by_relevance(e, 1).orderBy("ord").collect()] == [False, True, False]
 
 
+@pytest.fixture
+def dealt(spark):
+    """Runs f with n partitions of a shuffle, none of them joined, as on a cluster rows of equal order come in any order."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+
+    def run(n, f):
+        for k, v in zip(kept, (str(n), "false")):
+            spark.conf.set(k, v)
+        return f()
+
+    yield run
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def test_evidence_of_one_place_goes_by_id_however_it_is_dealt(spark, dealt):
+    """Found again by place in one run of the merge, and told by the places of another."""
+    ids = [f"{i:02d}" for i in range(40)]
+    finds = spark.createDataFrame([(1, 0, 0, i, "q") for i in ids], "stmt_id int, query_ord int, rank int, pubmed_id string, query string")
+    more = spark.createDataFrame([(1, 1, 0, i, f"q{i}") for i in ids], finds.schema)
+    merged = lambda n: spark.createDataFrame(dealt(n, lambda: E.merge_found(finds).collect()), "stmt_id int, pubmed_id string, ord int, queries array<string>")
+    one, other = merged(3), merged(7)
+    assert [r.pubmed_id for r in one.orderBy("ord").collect()] == [r.pubmed_id for r in other.orderBy("ord").collect()] == ids
+    again = E.found_again(one, more).join(other.select("stmt_id", "ord", "pubmed_id"), ["stmt_id", "ord"])
+    assert {r.pubmed_id: r.queries for r in again.collect()} == {i: [f"q{i}"] for i in ids}
+
+
 @pytest.mark.parametrize(("n", "want"), [(0, 0), (512, 1), (513, 2), (960, 2), (961, 3)])
 def test_token_windows(spark, n, want):
     df = spark.createDataFrame([([str(i) for i in range(n)],)], "t array<string>")
