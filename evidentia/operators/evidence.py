@@ -135,14 +135,18 @@ def _best(held, k: int, claim: pa.DataType, chunk_type: pa.DataType):
     return best
 
 
+def _find() -> Column:
+    """A find's place, query after query; what is null comes last in each, as in SQL."""
+    return F.struct(*[c for n in ("query_ord", "rank", "query") for c in (F.col(n).isNull().alias(f"no_{n}"), F.col(n))])
+
+
 def merge_found(found: DataFrame) -> DataFrame:
     """Evidence per (stmt_id, pubmed_id) of finds (stmt_id, query_ord, rank, pubmed_id, query): its
     place by first find and id, and the queries that found it again, each once whatever its case."""
-    at = F.struct("query_ord", "rank", "query")
-    one = found.groupBy("stmt_id", "pubmed_id", F.lower("query").alias("low")).agg(F.min(at).alias("at"))
+    one = found.groupBy("stmt_id", "pubmed_id", F.lower("query").alias("low")).agg(F.min(_find()).alias("at"))
     first = one.groupBy("stmt_id", "pubmed_id").agg(F.sort_array(F.collect_list("at")).alias("all"))
     w = Window.partitionBy("stmt_id").orderBy("at", F.asc_nulls_last("pubmed_id"))
-    return first.withColumn("at", F.col("all")[0]).select("stmt_id", "pubmed_id", (F.row_number().over(w) - 1).alias("ord"), F.transform(F.slice("all", 2, 1 << 20), lambda s: s["query"]).alias("queries"))
+    return first.withColumn("at", F.col("all")[0]).select("stmt_id", "pubmed_id", (F.row_number().over(w) - 1).alias("ord"), F.transform(F.slice("all", 2, F.size("all")), lambda s: s["query"]).alias("queries"))
 
 
 def found_again(evidence: DataFrame, found: DataFrame) -> DataFrame:
@@ -151,7 +155,7 @@ def found_again(evidence: DataFrame, found: DataFrame) -> DataFrame:
     yet, each once whatever its case, in order of query and place. Of equal ids in a statement the
     first in order counts."""
     first = evidence.where("pubmed_id is not null").groupBy("stmt_id", "pubmed_id").agg(F.min(F.struct("ord", F.coalesce("queries", F.array().cast("array<string>")).alias("queries"))).alias("own"))
-    one = found.groupBy("stmt_id", "pubmed_id", F.lower("query").alias("low")).agg(F.min(F.struct("query_ord", "rank", "query")).alias("at"))
+    one = found.groupBy("stmt_id", "pubmed_id", F.lower("query").alias("low")).agg(F.min(_find()).alias("at"))
     more = one.groupBy("stmt_id", "pubmed_id").agg(F.transform(F.array_sort(F.collect_list("at")), lambda s: s["query"]).alias("more"))
     had = F.transform(F.col("own.queries"), F.lower)
     return first.join(more, ["stmt_id", "pubmed_id"]).select("stmt_id", F.col("own.ord").alias("ord"), F.concat("own.queries", F.filter("more", lambda q: ~F.array_contains(had, F.lower(q)))).alias("queries"))
