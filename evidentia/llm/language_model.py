@@ -29,13 +29,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import SPACED_TABLE, _U, as_list, hash_words, mix64, renamed, table, text_blocks, written
+from evidentia.llm.common import SPACED_TABLE, _U, as_list, give_back, hash_words, mix64, renamed, table, text_blocks, written
 
 #: Bytes of text in a chunk; tokens to a bucket; buckets at least.
 CHUNK_BYTES, BUCKET_TOKENS, BUCKETS = 8 << 20, 2_000_000, 64
 #: Discount and strength of the root and of contexts.
 ROOT, CHILD = (0.5, 1.0), (0.8, 20.0)
 BURN_IN, SAMPLES = 2, 2
+#: Bytes of rows that go to a worker at a time.
+BATCH = "8m"
 #: Counts up to here have their number of tables drawn from the exact conditional.
 EXACT = 128
 END, START = _U(0x1D8E4E27C47D124F), _U(0xEB44ACCAB455D165)
@@ -139,6 +141,8 @@ def chunks(docs: DataFrame) -> DataFrame:
                 )
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([int(ends[-1]) + 1], pa.int64()), pa.array([data], pa.binary())], names=["chunk", "n_tokens", "data"])
                 number += 1
+                del raw, offsets, h, n, ends, tokens, words, places, data
+                give_back()
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(cut, CHUNK)
 
@@ -216,8 +220,11 @@ class Chunk:
         before = np.empty(len(self.tokens), np.int64)
         before[1:] = self.tokens[:-1]
         before[np.cumsum(self.sizes) - self.sizes] = w  # the start of a text
-        self.before = before
-        pair, self.pair_of = np.unique(before * (w + 1) + self.tokens, return_inverse=True)
+        before *= w + 1
+        before += self.tokens
+        pair, pair_of = np.unique(before, return_inverse=True)
+        self.pair_of = pair_of.astype(np.int32)
+        del before, pair_of
         self.u, self.w = pair // (w + 1), pair % (w + 1)
         train = np.repeat(~self.held, self.sizes)
         self.train = np.bincount(self.pair_of[train], minlength=len(pair))
@@ -351,23 +358,27 @@ def score_documents(docs: DataFrame, seed: int = 11, each: bool = False) -> Data
     the unknown's probability. A text of any length counts whole; an empty table gives
     no rows; other columns are ignored, whatever their names.
     """
-    chunked = written(chunks(docs), "lm-chunks")
+    chunked = written(chunks(docs), "lm-chunks", BATCH)
     tokens = chunked.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(BUCKETS, -(-tokens // BUCKET_TOKENS))
-    counted = written(ask_words(chunked, buckets).groupBy("bucket").applyInArrow(count_words, MESSAGE), "lm-counts")
+    counted = written(ask_words(chunked, buckets).groupBy("bucket").applyInArrow(count_words, MESSAGE), "lm-counts", BATCH)
     totals = _totals(counted, 3)
 
     def ask(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         return Chunk(left["data"][0].as_py(), right, buckets, totals).ask_pairs(key[0].as_py()) if len(left) else messages([])
 
     def seat(rows: pa.Table) -> pa.Table:
-        return seat_pairs(rows, seed)
+        found = seat_pairs(rows, seed)
+        give_back()
+        return found
 
     by_chunk = chunked.groupBy("chunk")
     pairs = by_chunk.cogroup(counted.where("kind = 'count'").groupBy("chunk")).applyInArrow(ask, MESSAGE)
-    seated = written(pairs.groupBy("bucket").applyInArrow(seat, MESSAGE), "lm-tables")
+    seated = written(pairs.groupBy("bucket").applyInArrow(seat, MESSAGE), "lm-tables", BATCH)
 
     def ask_root(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         if not len(left):
             return messages([])
         c = Chunk(left["data"][0].as_py(), right, buckets, totals)
@@ -386,12 +397,14 @@ def score_documents(docs: DataFrame, seed: int = 11, each: bool = False) -> Data
     v = int(totals[1])
 
     def root(rows: pa.Table) -> pa.Table:
-        return seat_root(rows, seed, v)
+        found = seat_root(rows, seed, v)
+        give_back()
+        return found
 
     told = counted.where("kind = 'count'").unionByName(seated.where("kind = 'tables'"))
     roots = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(ask_root, MESSAGE)
     contexts = seated.where("kind = 'context'").mapInArrow(route, MESSAGE)
-    rooted = written(roots.unionByName(contexts).groupBy("bucket").applyInArrow(root, MESSAGE), "lm-root")
+    rooted = written(roots.unionByName(contexts).groupBy("bucket").applyInArrow(root, MESSAGE), "lm-root", BATCH)
     sums = _totals(rooted, 3 * SAMPLES)
 
     kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2] + [pa.list_(pa.float64())] * each
@@ -399,6 +412,7 @@ def score_documents(docs: DataFrame, seed: int = 11, each: bool = False) -> Data
     names = [x.split()[0] for x in schema.split(", ")]
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         if not len(left):
             return pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
         c = Chunk(left["data"][0].as_py(), right, buckets, totals)

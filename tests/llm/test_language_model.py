@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evidentia.llm import common
 from evidentia.llm import language_model as lm
 from evidentia.llm.common import table
 
@@ -92,3 +93,15 @@ def test_edges(spark, held):
     assert len(got) == 7 and all(near(g, w) for g, w in zip(got, want, strict=True))
     assert all(math.isfinite(g[6]) for g in got)
     assert lm.score_documents(df.limit(0)).count() == 0
+
+
+def test_a_long_text_leaves_a_small_table_of_powers(monkeypatch):
+    one = np.ones(1, np.uint64)
+    monkeypatch.setattr(common, "_powers", [one, one])
+    words = ["Ab", "c" * 300_000, "é", "d" * 2_000] * 5 + [f"w{i}" for i in range(400_000)]
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    found = common.hash_words(raw, np.array([0, len(raw)]), common.SPACED_TABLE)[0]
+    assert len(raw) > 1 << 22 and len(common._powers[0]) <= 1 << 19
+    for w, h in [*zip(words[:40], found[:40], strict=True), (words[-1], found[-1])]:
+        alone = np.frombuffer(w.encode(), np.uint8)
+        assert common.hash_words(alone, np.array([0, len(alone)]), common.SPACED_TABLE)[0].tolist() == [h]
