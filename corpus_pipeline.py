@@ -19,6 +19,8 @@ from evidentia.llm.line_dedup import dedup_lines
 from evidentia.llm.minhash import near_duplicates
 from evidentia.llm.packing import pack_documents
 
+#: Bytes of texts that go to a worker at a time.
+BATCH = "8m"
 WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
 
 
@@ -55,7 +57,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words with a benchmark item."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark"), keyed=True).where("contaminated"))
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), keyed=True).where("contaminated")
+    return _without(docs, written(found.select("doc_id", "text_key"), "contaminated", BATCH))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

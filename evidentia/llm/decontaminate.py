@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import as_list, hash_words, mix64, renamed, table, text_blocks
+from evidentia.llm.common import as_list, give_back, hash_words, mix64, renamed, table, text_blocks
 
 WINDOW = 10
 K = 5
@@ -213,6 +213,7 @@ def _scan(docs: DataFrame, index: Index, hits_only: bool) -> DataFrame:
                 if hits_only:
                     out = out.filter(pa.array(n_spans > 0))
                 yield out
+            give_back()
 
     return docs.mapInArrow(scan, SCAN)
 

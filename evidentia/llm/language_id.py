@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import own_name, table
+from evidentia.llm.common import give_back, own_name, table
 
 #: N-grams in a profile, of a language and of a document.
 PROFILE = 400
@@ -180,6 +180,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", names: tupl
         profiles = held.value
         for texts in batches:
             yield pd.DataFrame([profiles.nearest(t or "") for t in texts], columns=["lang", "score"])
+            give_back()
 
     (found,) = own_name("found")
     judged = docs.withColumn(found, nearest(F.col(f"`{text}`")))

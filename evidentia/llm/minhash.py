@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import _U, as_list, hash_words, mix64, renamed, shingle_hashes, table, text_blocks, written
+from evidentia.llm.common import _U, as_list, give_back, hash_words, mix64, renamed, shingle_hashes, table, text_blocks, written
 from evidentia.llm.components import components
 
 WORDS = 5
@@ -150,6 +150,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
                     [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(k1), pa.array(k2), pa.array(n, pa.int64()), as_list(found, bands * (n > 0), pa.int64()), pa.array(sketch, pa.binary())],
                     names=["doc_id", "text_key", "k1", "k2", "n_words", "bands", "sketch"],
                 )
+            give_back()
 
     return renamed(docs, doc_id="doc_id", text="text").selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_key", "text").mapInArrow(sign, SIGNED)
 
@@ -169,6 +170,7 @@ def shingle_sets(texts: DataFrame, words: int = WORDS, weights: str = "set") ->
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], as_list(e.view(np.int64), n, pa.int64()), as_list(w, n, pa.float64())], names=["node", "shingles", "weights"]
                 )
+            give_back()
 
     return texts.select("node", "text").mapInArrow(cut, SETS)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import renamed, table
+from evidentia.llm.common import give_back, renamed, table
 from evidentia.llm.tokenizer import encoder, small_batches, vocabulary
 
 SEQUENCE = 4096
@@ -58,6 +58,8 @@ def cut_documents(
                         row = (doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, copy)
                         rows.append((*row, np.frombuffer(part, "<i4")) if with_ids else row)
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
+            del texts, rows
+            give_back()
             kinds = [pa.int64()] * 5 + [pa.int32()] + [pa.list_(pa.int32())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 

@@ -70,3 +70,13 @@ def test_rows_are_told_by_id_and_text(spark, sf):
         out[name] = sorted(((r.doc_id or 0), r.text) for r in got.collect())
     assert out["decontamination"] == sorted(((d or 0), t) for d, t in rows if t != item)
     assert (0, rows[5][1]) not in out["near_dedup"] and (8, rows[4][1]) in out["near_dedup"] and (7, clean[1]) in out["near_dedup"]
+
+
+def test_decontamination_sends_workers_small_batches(spark, sf, monkeypatch):
+    sent, write = [], corpus_pipeline.written
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df, name, batch=None: sent.append((df.columns, batch)) or write(df, name, batch))
+    docs = table(spark, sf, "documents")
+    got = {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, sf).collect()}
+    assert sent == [(["doc_id", "text_key"], "8m")]
+    judged = corpus_pipeline.contamination(docs, table(spark, sf, "benchmark"))
+    assert got == {r.doc_id for r in judged.where("not contaminated").collect()} and len(got) < docs.count()
