@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import as_list, renamed, scratch, table
-from evidentia.llm.tokenizer import encoder, small_batches, vocabulary
+from evidentia.llm.common import as_list, renamed, scratch, table, text_blocks
+from evidentia.llm.tokenizer import encoder, vocabulary
 
 END_ID = 1
+#: Texts are encoded in blocks of about so many bytes.
+AT_ONCE = 4 << 20
 FILES = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
 
 
@@ -48,17 +50,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     length is encoded whole and is one row; an empty table writes files without rows;
     columns other than doc_id and text are ignored, whatever their names.
     """
-    tokens, end = tokenizer or vocabulary(), np.array([end_id], "<u4").tobytes()
+    tokens = tokenizer or vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, start, enc = TaskContext.get().partitionId(), 0, encoder(tokens)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in small_batches(texts):
-                found = [ids + end for ids in enc.batch(texts[i:j])]
-                n = np.array([len(x) // 4 for x in found], np.int64)
+            texts = batch.column(1).fill_null("")
+            for i, j, *_ in text_blocks(texts, AT_ONCE):
+                ids, bounds = enc.encode(texts[i:j])
+                n = np.diff(bounds) + 1
                 before = start + np.cumsum(n) - n
                 start += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
@@ -67,7 +69,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                         pa.array(np.full(j - i, part, np.int32)),
                         pa.array(before),
                         pa.array(n.astype(np.int32)),
-                        as_list(np.frombuffer(b"".join(found), "<i4"), n, pa.int32()),
+                        as_list(np.insert(ids, bounds[1:], end_id).view("<i4"), n, pa.int32()),
                     ],
                     names=["doc_id", "part", "part_start", "n_tokens", "ids"],
                 )

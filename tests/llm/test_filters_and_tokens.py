@@ -100,6 +100,28 @@ def test_a_small_memo_changes_no_ids(monkeypatch):
     assert got == [np.array(ids[:-1], "<u4").tobytes() for ids in reference_ids(texts, 0)]
 
 
+def test_words_and_the_marks_behind_them_are_encoded_once():
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.given = inner, []
+
+        def encode_batch_fast(self, texts, **kw):
+            self.given += [w for t in texts for w in t.split()]
+            return self.inner.encode_batch_fast(texts, **kw)
+
+    enc = tokenizer.Encoder(tokenizer.vocabulary())
+    enc.tokenizer = Counted(enc.tokenizer)
+    marks = ["!!", "###", ",***", "'", "\"]", "\\^_`{|}~", "", "."]
+    texts = [" ".join(f"{w}{m}" for w in ("these", "THESE", "Größe", "größe")) for m in marks]
+    long = "x" * (tokenizer.MEMO_CHARS + 1)
+    for some in (texts[:3], texts, ["these!! 'tis don't a'b 4!! <|endoftext|>", "", f"{long}!! {long}"]):
+        got = enc.batch(some)
+        assert got == [np.array(ids[:-1], "<u4").tobytes() for ids in reference_ids(some, 0)]
+    known = [w for w in enc.tokenizer.given if w in ("these", "größe") or not any(c.isalnum() for c in w)]
+    assert sorted(known) == sorted({"these", "größe", *marks} - {""})
+    assert long not in enc.memo and len(enc.bounds) == len(enc.memo) + 1 and enc.bounds[-1] == len(enc.ids)
+
+
 def test_repeated_rows_are_dealt_apart(spark):
     d = docs(spark, [(5, "one and the same")] * 400).coalesce(1)
     rows = packing.pack_documents(d, group_docs=10).collect()
